@@ -7,18 +7,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import minhash
+from latticework.llm import chat, media, minhash, mixing, neighbours, packing, quality, sharding
 from latticework.llm.common import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_near_duplicates": op1_near_duplicates,
-}
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' WAV payloads and of their spectral fingerprints."""
+    return media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector id."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, read back from their windows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.chat_windows(turns.unionByName(more)))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_texts(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 16 shards of equal counts."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_media_columns, op4_best_fit_packing, op5_nearest_neighbours, op6_chat_formatting, op7_quality_classifier, op8_source_mixing, op9_bounded_ring_sharding)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
