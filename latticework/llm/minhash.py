@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import Scratch, connected_components, raw_texts, shuffle_partitions, slices
@@ -249,5 +249,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     components = connected_components(links, scratch)
     out = base.drop("sketch").join(classes, "digest", "left").join(components, F.col("class_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without the near-duplicates of others, with all their columns.
+
+    Of each component the document with the smallest doc_id stays.  Of rows with one
+    doc_id one stays, the one with the smallest text; rows with a null doc_id all do.
+    """
+    found = near_duplicates(docs, doc_id, text)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    key = F.col(doc_id).cast("long")
+    out = docs.join(gone, key == F.col("_gone"), "left_anti")
+    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").limit(1).count()
+    if repeated:
+        first = F.row_number().over(Window.partitionBy(doc_id).orderBy(text, *(c for c in docs.columns if c not in (doc_id, text))))
+        out = out.withColumn("_first", first).where(F.col(doc_id).isNull() | (F.col("_first") == 1)).drop("_first")
     return out

@@ -198,3 +198,16 @@ def score_texts(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", te
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = own.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, most_bytes=1 << 18):
+            if shared.value is not None:
+                batch = batch.filter(pa.array(scores(shared.value, [r or b"" for r in raw_texts(batch.column(text))]) >= 0.5))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import chat, media, minhash, mixing, neighbours, packing, quality, sharding
+from latticework.llm import chat, licenses, media, minhash, mixing, neighbours, packing, pii, quality, sharding
 from latticework.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license declaration in all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' WAV payloads and of their spectral fingerprints."""
     return media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
@@ -57,7 +62,12 @@ def op9_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_media_columns, op4_best_fit_packing, op5_nearest_neighbours, op6_chat_formatting, op7_quality_classifier, op8_source_mixing, op9_bounded_ring_sharding)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_media_columns, op4_best_fit_packing, op5_nearest_neighbours, op6_chat_formatting, op7_quality_classifier, op8_source_mixing, op9_bounded_ring_sharding, op10_personal_data)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
