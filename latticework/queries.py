@@ -350,8 +350,12 @@ def _text_date(c: Column) -> Column:
 
 def _since(days: int) -> Callable[[Column], Column]:
     """The start of the period of so many days, counted from the first of January 2024."""
-    first = F.lit("2024-01-01").cast("date")
-    return lambda c: _text_date(F.date_add(first, (F.floor(F.datediff(c, first) / days) * days).cast("int")))
+
+    def start(c: Column) -> Column:
+        first = F.lit("2024-01-01").cast("date")
+        return _text_date(F.date_add(first, (F.floor(F.datediff(c, first) / days) * days).cast("int")))
+
+    return start
 
 
 def _since_sql(days: int) -> str:
