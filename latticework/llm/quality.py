@@ -63,6 +63,8 @@ def _pooled(tables: np.ndarray, raws: list[bytes], where: bool) -> tuple[np.ndar
     level = tables[0].take(data[:n], axis=0)
     for j in range(1, WIDTH):
         level += tables[j].take(data[j : n + j], axis=0)
+    # windows that would read into the next text don't count
+    level[(begin + size - WIDTH + 1)[:, None] + np.arange(WIDTH - 1)] = -np.inf
     top = np.maximum.reduceat(level, at)
     if not where:
         return top, first, each
@@ -109,7 +111,6 @@ def _gradients(net: Network, raws: list[bytes], wanted: np.ndarray) -> list[np.n
     err = (p - wanted).astype(np.float32) / len(raws)
     d_hidden = np.outer(err, net.out) * (1 - hidden**2)
     dx = d_hidden @ net.hidden.T
-    seg = np.arange(len(top))
     text = np.repeat(np.arange(len(raws)), each)
     from_first = top >= top[second]
     d_top = np.zeros_like(top)
@@ -129,7 +130,6 @@ def _gradients(net: Network, raws: list[bytes], wanted: np.ndarray) -> list[np.n
         taken = net.embed[byte]
         d_filters[j] = np.einsum("sfe,sf->ef", taken, d_top)
         np.add.at(d_embed, byte.ravel(), (d_top[:, :, None] * net.filters[j].T[None]).reshape(-1, EMBED))
-    del seg
     return [d_embed, d_filters, x.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ err, err.sum(keepdims=True)]
 
 
