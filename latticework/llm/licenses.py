@@ -76,7 +76,7 @@ def is_key(word: str) -> bool:
 @cache
 def _compressors() -> tuple[zstandard.ZstdCompressor, tuple[zstandard.ZstdCompressor, ...]]:
     options = {"level": 3, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
-    with_dictionary = tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, t in TEMPLATES)
+    with_dictionary = tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, t in TEMPLATES)
     return zstandard.ZstdCompressor(**options), with_dictionary
 
 
@@ -86,8 +86,8 @@ def _template_words() -> tuple[tuple[str, ...], ...]:
 
 
 def ranked(block: bytes) -> list[tuple[float, int]]:
-    """(reduction, template) of the templates that shrink the block, the best first: the
-    bytes a template saves, as a share of what the shorter of both takes by itself."""
+    """(reduction, template) of the templates that shrink the lower-case block, the best first:
+    the bytes a template saves, as a share of what the shorter of both takes by itself."""
     alone, each = _compressors()
     plain = len(alone.compress(block))
     found = []
@@ -154,8 +154,8 @@ def scan_text(raw: bytes | None) -> list[tuple[int, int, str, float, str, str]]:
         while again:  # a block may hold several declarations: each is cut out before the next is ranked
             again = False
             open_ = [w for w in words if all(w[2] <= a or b <= w[1] for a, b in taken)]
-            shown = " ".join(text[a:b] for _, a, b in open_)
-            ranks = ranked(shown.encode()) if open_ and any(h in shown.lower().encode() for h in HINTS) else []
+            shown = " ".join(text[a:b] for _, a, b in open_).lower().encode()
+            ranks = ranked(shown) if any(h in shown for h in HINTS) else []
             close = [(d, gain, t) for gain, t in ranks[:RANKED] if (d := differences(t, open_))]
             if close:
                 (first, end, missing, added), gain, t = min(close, key=lambda c: (len(c[0][2]) + len(c[0][3]), c[0][0] - c[0][1], -c[1]))
