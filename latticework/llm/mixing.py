@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
 from latticework.llm.common import Scratch, raw_texts, with_running
 
@@ -21,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 MOST, SEEDS = 3, 32
 
 
-@arrow_udf("long")
+@arrow_udf(LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """The number of ``[^\\x20\\x09-\\x0D]+`` in each text; null counts as empty."""
     return pa.array([len(raw.split()) if raw else 0 for raw in raw_texts(texts)], pa.int64())

@@ -100,7 +100,7 @@ def _join(k: int):
                 keep = survivors(quantised, quantise(x), query_ids[:, None] == ids[None, :], k)
                 for i in np.flatnonzero(keep.any(axis=1)):
                     some = np.flatnonzero(keep[i])
-                    exact = np.sqrt(((x[some] - queries[i]) ** 2).sum(axis=1))
+                    exact = np.sqrt(np.cumsum((x[some] - queries[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
                     best = np.lexsort((ids[some], exact))[:k]
                     found = list(zip(exact[best].tolist(), ids[some][best].tolist(), strict=True))
                     old = heaps.get(key := (int(query_ids[i]), block))

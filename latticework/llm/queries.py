@@ -69,5 +69,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_media_columns, op4_best_fit_packing, op5_nearest_neighbours, op6_chat_formatting, op7_quality_classifier, op8_source_mixing, op9_bounded_ring_sharding, op10_personal_data)}
 
+_OP1_SQL = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN NULL ELSE md5(array_to_string(s, chr(10))) END AS digest, s FROM sets),
+reps AS (SELECT digest, MIN(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM sized WHERE digest IS NOT NULL GROUP BY digest),
+items AS MATERIALIZED (SELECT rep, n, unnest(s) AS item FROM reps),
+pairs AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.item = b.item AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))),
+links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(node, root) AS (SELECT rep, rep FROM reps UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node WHERE reach.root < links.b),
+components AS (SELECT node, MIN(root) AS component FROM reach GROUP BY node),
+named AS (SELECT sized.doc_id, CAST(sized.n AS BIGINT) AS n_shingles, COALESCE(component, sized.doc_id) AS component_id, COALESCE(rep, sized.doc_id) AS class_id FROM sized LEFT JOIN reps USING (digest) LEFT JOIN components ON node = rep)
+SELECT doc_id, n_shingles, component_id, component_id = doc_id AS kept, class_id FROM named"""
+
+_OP5_SQL = """
+WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+near AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (c.x[i] - q.x[i]) * (c.x[i] - q.x[i])), lambda a, b: a + b)) AS score FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM near)
+SELECT * FROM ranked WHERE rank <= 10"""
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _OP1_SQL, "op5_nearest_neighbours": _OP5_SQL}

@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from latticework.llm import pii, tagger
+
+# the base rules as they are stated
+PLAIN = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN:
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and plain_luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def plain_luhn(digits):
+    doubled = [int(d) for d in digits[-1::-2]] + [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
+    return sum(doubled) % 10 == 0
+
+
+def named(spans):
+    return [(tagger.KINDS[k], a, b) for k, a, b in spans]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from([*"0123456789", *"@.+- ()%_aZé\n", "4111111111111111", "1.2.3.4", "a@b.co", "+1 (209) 555-1594", "..", "@@"]), max_size=30).map("".join))
+def test_base_spans_are_the_stated_rules(text):
+    assert named(pii.base_spans(text)) == plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" * 50_000, "a@b." * 50_000, "+" + "1 " * 100_000])
+def test_long_runs_take_linear_time(text):
+    pii.base_spans(text)
+
+
+@pytest.fixture(scope="module")
+def net():
+    return tagger.trained()
+
+
+def test_tagger_on_unseen_spans(net):
+    texts, spans = tagger.labelled(500, 4242)
+    x, _ = tagger._matrix(texts, spans)
+    hit = wanted = found = 0
+    for text, want, tags in zip(texts, spans, net.tags(x), strict=True):
+        got = set(tagger.tag_spans(tags[: len(text)]))
+        hit += len(got & set(want))
+        wanted += len(want)
+        found += len(got)
+    assert hit / wanted > 0.8 and hit / found > 0.8
+
+
+def test_gradients_match_differences():
+    model = tagger.Tagger(3)
+    x, y = tagger._matrix(*tagger.labelled(6, 1))
+
+    def loss():
+        emit = (model._states(x) @ model.out + model.out_bias).astype(np.float64)
+        move = (model.transitions + model.mask).astype(np.float64)
+        total = 0.0
+        for e, tags in zip(emit, y, strict=True):
+            score = e[0] + model.mask[0]
+            gold = e[0, tags[0]]
+            for t in range(1, len(e)):
+                every = score[:, None] + move
+                top = every.max(axis=0)
+                score = np.log(np.exp(every - top).sum(axis=0)) + top + e[t]
+                gold += move[tags[t - 1], tags[t]] + e[t, tags[t]]
+            total += np.log(np.exp(score - score.max()).sum()) + score.max() - gold
+        return total / len(x)
+
+    for w, g in zip(model.weights(), model._gradients(x, y), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, step = w[at], 1e-2
+        w[at] = old + step
+        up = loss()
+        w[at] = old - step
+        down = loss()
+        w[at] = old
+        assert abs((up - down) / (2 * step) - g[at]) < 0.02 + 0.05 * abs(g[at])
+
+
+def test_viterbi_matches_all_paths(net):
+    """On a short window every tag sequence is tried."""
+    x = tagger._matrix(["a@b"], [[]])[0][:, :3]
+    emit = (net._states(x) @ net.out + net.out_bias)[0]
+    move = net.transitions + net.mask
+    best = max(((emit[0, a] + net.mask[0][a] + move[a, b] + emit[1, b] + move[b, c] + emit[2, c], (a, b, c)) for a in range(tagger.TAGS) for b in range(tagger.TAGS) for c in range(tagger.TAGS)))
+    assert tuple(int(t) for t in net.tags(x)[0]) == best[1]
+
+
+def corpus(spark):
+    return [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+
+
+def test_skipped_windows_can_add_nothing(spark, net):
+    texts = [t[:3000] for t in corpus(spark)[:60]] + ["call (209) 555-1594 or mail ab.cd @ mail3.example.com ok " * 9]
+    assert pii.find_spans(texts, net) == pii.find_spans(texts, net, every_window=True)
+
+
+def test_added_spans_stay_beside_base_spans(net):
+    text = "filler words " * 20 + "call (209) 555-1594 now, card 4111.1111.1111.1111 or a@b.example.com and +1 (209) 555-1594 " + "more words " * 20
+    base, added = pii.find_spans([text], net)[0]
+    assert named(base) == plain_spans(text)
+    assert {text[a:b] for _, a, b in added} == {"(209) 555-1594", "4111.1111.1111.1111"}
+
+
+def test_documents_have_exact_base_spans_and_no_false_additions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    for d in docs.collect():
+        want, r = plain_spans(d["text"]), rows[d["doc_id"]]
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == kind for k, _, _ in want) for kind, _ in PLAIN]
+        assert r["n_added"] == 0 and r["spans"] == said
+
+
+def test_edges(edges, none):
+    rows = pii.personal_data(edges).collect()
+    assert len(rows) == edges.count()
+    found = {r["doc_id"]: r["spans"] for r in rows if r["spans"]}
+    assert set(found) == {15} and found[15].startswith("email:5:22,phone:26:43")
+    assert pii.personal_data(none).count() == 0
+    clean = pii.redact(edges)
+    assert clean.columns == edges.columns
+    a, b = (sorted(map(str, df.where("doc_id <> 15 or doc_id is null").collect())) for df in (edges, clean))
+    assert a == b
+    assert clean.where("doc_id = 15").first()["text"].startswith("mail [EMAIL] or [PHONE]\n")
+
+
+def test_redaction_of_overlapping_spans():
+    assert pii.redact_text("ab cd ef", [(0, 0, 4), (3, 3, 6)]) == "[EMAIL]ef"
+    assert pii.redact_text("x", []) == "x"
