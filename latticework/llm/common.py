@@ -3,7 +3,6 @@ components over data of any size, and slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,18 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="latticework-")
-        _own[sc.applicationId] = found
-    return found.rstrip("/")
-
+from latticework.scratch import shared_folder
 
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
@@ -90,25 +78,34 @@ def _stars_done(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["s"]
 
 
+SALTS = 8  # tasks that share the edges of one hub
+
+
+def _with_least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """``edges`` with ``m``, the least neighbour of ``node`` among those below it, NULL if it has none.
+
+    A hub's edges are dealt to ``SALTS`` tasks by their other end, and its one row to each of them.
+    """
+    least = edges.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("m")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return salted.join(least, (F.col(node) == F.col("_node")) & (salted["_salt"] == least["_salt"]), "left").select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for each node of ``edges (a, b)``; a component's name is its smallest node.
 
     Alternating large and small stars: each round hangs every node's larger
     neighbours, then its smaller ones, on its least neighbour.  Each round is two
-    aggregations with map-side combining and two equi-joins, written to the
+    aggregations with map-side combining and two salted equi-joins, written to the
     shared folder; nothing but a count and a checksum reaches the driver.
     """
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _stars_done(now)
     while seen[0]:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.table(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).distinct()
-        after = scratch.table(small)
+        # the larger neighbours of each node hang on its least neighbour, or on it
+        large = scratch.table(_with_least(now, "b", "a").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        hung = _with_least(large, "a", "b")
+        after = scratch.table(hung.select("a", F.col("m").alias("b")).union(hung.where("b <> m").select("b", "m")).distinct())
         scratch.drop(now, large)
         now, before, seen = after, seen, _stars_done(after)
         if seen == before:
