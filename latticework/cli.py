@@ -14,7 +14,7 @@ from latticework.engine import Engine, RunError
 from latticework.plans.frequency import Frequency, parse_period
 from latticework.plans.schedule import Work
 from latticework.plans.spec import ReportSpec, from_xml
-from latticework.sinks.export import JdbcSink, export, parse_aliases, reject_rows, timestamp_value, top_rows
+from latticework.sinks.export import JdbcSink, UnsupportedSink, export, parse_aliases, project, reject_rows, timestamp_value, top_rows
 
 
 def load_report(folder: Path) -> tuple[ReportSpec, dict[str, dict[str, str]]]:
@@ -35,9 +35,15 @@ def exporter(spark: SparkSession, aliases: dict[str, dict[str, dict[str, str]]],
     sink = JdbcSink(spark, url, **options)
 
     def run(work: Work, rows: DataFrame) -> None:
-        name = work.spec.table_name(work.freq)
-        columns = sink.columns(name)
-        good, bad = export(top_rows(rows, work.spec.output.top), columns, work.start, aliases.get(work.spec.name, {}).get(name), strict=strict, timestamp=timestamp)
+        name, kind = work.spec.table_name(work.freq), work.spec.output.type
+        if kind not in ("mysql", "phoenix"):
+            raise UnsupportedSink(f"{work.spec.name}: output {kind} has no sink")
+        columns, named, rows = sink.columns(name), aliases.get(work.spec.name, {}).get(name), top_rows(rows, work.spec.output.top)
+        if kind == "phoenix":  # rows are written by key, the period as text, blanks for what is missing
+            shown = project(rows, [c.name for c in columns], work.start, named, " ", "Date", upper=True)
+            sink.upsert(shown, name, [c.name for c in columns if not c.nullable], "phoenix" if "phoenix" in url else "merge")
+            return
+        good, bad = export(rows, columns, work.start, named, strict=strict, timestamp=timestamp)
         value = spark.range(1).select(timestamp_value(work.start, timestamp).alias("v")).first()["v"]
         column = next((c.name for c in columns if c.name.lower() == "timestamp"), "timestamp")
         sink.replace_period(good, name, column, f"'{value}'" if timestamp == "Date" else str(value))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from latticework.engine import Engine
 from latticework.functions import accessors as A
+from latticework.functions.rows import emit_rows
 from latticework.operators.cube import cube, cube_states, finalize, merged, projected, report_states
 from latticework.plans.frequency import Frequency, format_period
 from latticework.plans.spec import Bind, ConfigSource, Dimension, Filter, Ignore, InputSpec, OutputSpec, ReportSpec, Target, TopFilter, from_xml
 from latticework.scratch import fresh_folder
 from latticework.sinks.export import TableColumn, project, rejects, top_rows
 from latticework.sources.lists import load_lists
-from latticework.sources.paths import expand
+from latticework.sources.paths import expand, matching
 from latticework.sources.readers import nested_columns, read
 from latticework.streaming.increments import read_stream_states, start_stream
 
@@ -320,8 +321,6 @@ _JANUARY = datetime(2024, 1, 1)
 def rolled_up(rows: DataFrame, dims: list[str], targets: Sequence[Target], ts: Column, fine: Column, coarse: Callable[[Column], Column]) -> DataFrame:
     """States of fine periods, then merged by coarse period without reading the rows again."""
     states = cube_states(projected(rows.withColumn("period", fine), dims, targets, ["period"]), dims, targets, extra=["period"])
-    for part in (states.flat, *states.keyed.values()):
-        assert "period" in part.columns
     states.flat = states.flat.withColumn("period", coarse(F.col("period")))
     states.keyed = {n: k.withColumn("period", coarse(F.col("period"))) for n, k in states.keyed.items()}
     return finalize(merged(states))
@@ -473,6 +472,20 @@ def config_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalize(report_states(table(spark, sf_dir, "orders"), spec))
 
 
+def _word_rows(record: dict):
+    """A row for each word longer than six letters of a record's first line."""
+    for word in (record["text"] or "").split("\n")[0].split(" "):
+        if len(word) > 6:
+            yield {"lang": record["lang"], "words": 1, "letters": len(word)}
+
+
+@registered(lattice_sql("SELECT lang, word FROM (SELECT lang, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS word FROM documents) WHERE length(word) > 6", ("lang",), "CAST(COUNT(*) AS BIGINT) AS words, CAST(SUM(length(word)) AS BIGINT) AS letters", subsets(("lang",))))
+def transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row-at-a-time parse function: none, one or many rows a record."""
+    df = emit_rows(table(spark, sf_dir, "documents"), _word_rows, "lang string, words long, letters long", ["lang", "text"])
+    return cube(df, ["lang"], [Target("words", "SUM"), Target("letters", "SUM")])
+
+
 # -- sources -----------------------------------------------------------------------
 
 _SCAN_SQL = lattice_sql("SELECT c_mktsegment AS segment, c_custkey, c_nationkey FROM customer", ("segment",), "CAST(SUM(c_custkey) AS BIGINT) AS keys, MAX(c_nationkey)::BIGINT AS last", subsets(("segment",)))
@@ -573,7 +586,6 @@ def run_hourly_to_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours from the log, the day from the hours' states; run twice, which replaces them."""
     root = _log(spark, sf_dir)
     spec = _log_spec("events", root, ["event_type"], [VALUE, Target("users", "UVBITMAP", value="user_id")], Frequency.Hourly)
-    spec = ReportSpec(**{**spec.__dict__, "input": InputSpec(spec.input.paths, "parquet", check="part")})
     engine = Engine(spark, fresh_folder(spark, "store"))
     hours = [h for h in Frequency.Daily.children(_JANUARY) if h.hour in _hours(spark, root)]
     for h in hours:
@@ -584,8 +596,6 @@ def run_hourly_to_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hours(spark: SparkSession, root: str) -> set[int]:
-    from latticework.sources.paths import matching
-
     found = matching(spark, [f"{root}/d=2024-01-01/h=*"])
     return {int(p.rpartition("=")[2]) for hits in found.values() for p in hits}
 

@@ -117,6 +117,10 @@ def top_rows(df: DataFrame, filters: Sequence[TopFilter], period: Sequence[str]
     return df
 
 
+class UnsupportedSink(RuntimeError):
+    """A definition names an output that has no sink."""
+
+
 class StrictInsertError(RuntimeError):
     """Rows were rejected while strict insertion was asked for."""
 
@@ -179,6 +183,51 @@ class JdbcSink:
         self.append(df, stage, batch)
         self.execute(f"DELETE FROM {table} WHERE {timestamp_column} = {value}", f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}", f"DELETE FROM {stage}")
 
+    def upsert(self, df: DataFrame, table: str, keys: Sequence[str], dialect: str = "merge", batch: int = 10_000) -> None:
+        """Writes rows by key without deleting any: staged, then merged in one statement."""
+        stage = f"{table}_stage"
+        self.execute(f"DELETE FROM {stage}")
+        self.append(df, stage, batch)
+        self.execute(upsert_statement(table, stage, df.columns, keys, dialect), f"DELETE FROM {stage}")
+
+    def select(self, sql: str) -> DataFrame:
+        """The rows of a statement."""
+        return self.spark.read.format("jdbc").options(url=self.url, query=sql, **self.options).load()
+
+    def change(self, sql: str, *values: object) -> int:
+        """Runs one statement with ``?`` marks bound to values, never pasted in; gives the rows changed."""
+        connection = self._connection()
+        try:
+            statement = connection.prepareStatement(sql)
+            for i, v in enumerate(values, 1):
+                statement.setObject(i, v)
+            return statement.executeUpdate()
+        finally:
+            connection.close()
+
+    def insert_row(self, table: str, row: Mapping[str, object]) -> int:
+        return self.change(f"INSERT INTO {table} ({', '.join(row)}) VALUES ({', '.join('?' * len(row))})", *row.values())
+
+    def update_rows(self, table: str, row: Mapping[str, object], where: Mapping[str, object]) -> int:
+        return self.change(f"UPDATE {table} SET {', '.join(f'{c} = ?' for c in row)} WHERE {' AND '.join(f'{c} = ?' for c in where)}", *row.values(), *where.values())
+
+    def delete_rows(self, table: str, where: Mapping[str, object]) -> int:
+        return self.change(f"DELETE FROM {table} WHERE {' AND '.join(f'{c} = ?' for c in where)}", *where.values())
+
+
+def upsert_statement(table: str, stage: str, columns: Sequence[str], keys: Sequence[str], dialect: str) -> str:
+    """The statement that brings staged rows into a table by key."""
+    names = ", ".join(columns)
+    if dialect == "phoenix":
+        return f"UPSERT INTO {table} ({names}) SELECT {names} FROM {stage}"
+    if dialect == "mysql":
+        changed = ", ".join(f"{c} = VALUES({c})" for c in columns if c not in keys)
+        return f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}" + (f" ON DUPLICATE KEY UPDATE {changed}" if changed else "")
+    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    changed = ", ".join(f"{c} = s.{c}" for c in columns if c not in keys)
+    update = f" WHEN MATCHED THEN UPDATE SET {changed}" if changed else ""
+    return f"MERGE INTO {table} t USING {stage} s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join(f's.{c}' for c in columns)})"
+
 
 def export(df: DataFrame, table: Sequence[TableColumn], start: datetime, aliases: Mapping[str, str] | None = None, missing: str = "0", strict: bool = False, timestamp: str = "epoch") -> tuple[DataFrame, DataFrame]:
     """The (good, rejected) rows of a report for a table; strict insertion raises on the first rejected row."""

@@ -10,8 +10,10 @@ from latticework import cli
 from latticework.engine import Engine, RunError
 from latticework.functions import accessors as A
 from latticework.plans.frequency import Frequency
-from latticework.plans.spec import ConfigSource, Dimension, InputSpec, ReportSpec, SpecError, Target, TopFilter
-from latticework.sinks.export import JdbcSink, StrictInsertError, TableColumn, export, parse_aliases, project, reject_rows, rejects, top_rows, truncate_bytes
+from latticework.plans.spec import ConfigSource, Dimension, InputSpec, OutputSpec, ReportSpec, SpecError, Target, TopFilter
+from latticework.functions.rows import RowError, checked, emit_rows
+from latticework.plans.schedule import Work
+from latticework.sinks.export import JdbcSink, StrictInsertError, TableColumn, UnsupportedSink, export, parse_aliases, project, reject_rows, rejects, top_rows, truncate_bytes, upsert_statement
 from latticework.sources.lists import load_lists
 from latticework.sources.paths import MissingInput, expand, resolve, strictest
 from latticework.sources.readers import UnsupportedSource, read, read_avro, with_file
@@ -175,6 +177,50 @@ def test_jdbc_period_is_replaced_in_one_transaction(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a", 5, 20), ("a", 7, 10)]
 
 
+def test_rows_by_key_and_single_statements(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    sink = JdbcSink(spark, url, driver=driver)
+    for name in ("T", "T_stage"):
+        sink.execute(f"CREATE TABLE {name} (K VARCHAR(9) NOT NULL, V BIGINT)")
+    assert sink.insert_row("T", {"K": "a", "V": 1}) == 1 and sink.insert_row("T", {"K": "b'; DROP", "V": 2}) == 1
+    sink.upsert(spark.createDataFrame([("a", 7), ("c", 3)], "K string, V long"), "T", ["K"])
+    assert sink.update_rows("T", {"V": 9}, {"K": "c"}) == 1 and sink.delete_rows("T", {"K": "b'; DROP"}) == 1
+    assert sorted(map(tuple, sink.select("SELECT K, V FROM T").collect())) == [("a", 7), ("c", 9)]
+    assert upsert_statement("T", "S", ["K", "V"], ["K"], "phoenix") == "UPSERT INTO T (K, V) SELECT K, V FROM S"
+    assert upsert_statement("T", "S", ["K", "V"], ["K"], "mysql").endswith("ON DUPLICATE KEY UPDATE V = VALUES(V)")
+    source = ConfigSource("l", "DB", sql="SELECT K, V FROM T WHERE V < %Y", params={"url": url, "driver": driver})
+    assert sorted(load_lists(spark, (source,), DAY)["l"]) == ["a\t7", "c\t9"]
+
+
+def test_row_transforms(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "i long, t string")
+    parse = lambda r: ({"w": w, "n": r["i"], **({"x": 0.5} if w == "c" else {})} for w in (r["t"] or "").split())
+    out = emit_rows(df, parse, "w string, n long, x double")
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", 1, None), ("b", 1, None), ("c", 3, 0.5)]
+    for bad in ({"w": None}, {"w": 1}, {"n": True}, {"n": 1.5}, {"y": 1}):
+        with pytest.raises(RowError):
+            checked(bad, {"w": str, "n": int, "x": float})
+    with pytest.raises(RowError):
+        emit_rows(df, parse, "w array<string>")
+    assert checked({"x": 1, "n": 2}, {"w": str, "n": int, "x": float}) == {"x": 1, "n": 2}
+
+
+def test_outputs_by_key_and_without_sink(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    sink = JdbcSink(spark, url, driver=driver)
+    for name in ("rDaily", "rDaily_stage"):
+        sink.execute(f'CREATE TABLE {name} (D VARCHAR(9) NOT NULL, T VARCHAR(9), "TIMESTAMP" VARCHAR(20) NOT NULL)')
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "d string, t long")
+    write = cli.exporter(spark, {}, url, {"driver": driver}, False, "epoch", "me", None)
+    spec = ReportSpec("r", (Dimension("d"),), (Target("t", "SUM"),), output=OutputSpec("phoenix"))
+    for _ in range(2):
+        write(Work(spec, Frequency.Daily, DAY), rows)
+    got = sink.select("SELECT * FROM rDaily")
+    assert sorted(map(tuple, got.collect())) == [("a", "1", "2024-01-01 00:00:00"), ("b", " ", "2024-01-01 00:00:00")]
+    with pytest.raises(UnsupportedSink):
+        write(Work(ReportSpec("r", spec.dimensions, spec.targets, output=OutputSpec("redis")), Frequency.Daily, DAY), rows)
+
+
 def test_command_line(spark, log, tmp_path, capsys):
     folder = tmp_path / "Clicks"
     folder.mkdir()
