@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = texts.mapInArrow(_full_sets, "node long, gid long, blocks long, n_shingles long, sketch binary, found binary")
     links = _tile_rows(sets).mapInArrow(_compare(True), "a long, b long")
     components = connected_components(links, scratch)
+    scratch.drop(sketches, clusters)
     out = base.drop("sketch").join(classes, "digest", "left").join(components, F.col("class_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
