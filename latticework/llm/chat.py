@@ -21,14 +21,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, shuffle_partitions, with_running
+from latticework.llm.common import Scratch, shuffle_partitions, with_place
 from latticework.llm.packing import encoder, vocabulary
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -91,21 +91,19 @@ def spans(tokens: list[int], history: list[int], system: int, budget: int = BUDG
         first = end
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = encoder(*vocabulary())
-    for batch in batches:
-        counts = [len(encode(format_turn(r or "", t or "")[0])) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, "tokens"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[list[dict]]:
     """Runs of rows with equal ``key``; the input is sorted by it."""
     for _, rows in groupby((row for batch in batches for row in batch.to_pylist()), key=lambda r: [r[k] for k in key]):
         yield list(rows)
 
 
-def block_windows(rows: list[dict]) -> Iterator[dict]:
-    """The windows of one block: its rows are the system turn, turns before it, and its own, each in order."""
+def block_windows(rows: list[dict], count: Callable[[str], int]) -> Iterator[dict]:
+    """The windows of one block: its rows are the system turn, turns before it, and its own, each in order.
+
+    ``count`` gives a formatted turn's tokens.
+    """
+    for r in rows:
+        r["tokens"] = count(format_turn(r["role"], r["text"])[0])
     system = [r for r in rows if r["why"] == SYSTEM]
     before = [r for r in rows if r["why"] == BEFORE]
     own = [r for r in rows if r["why"] == OWN]
@@ -127,8 +125,9 @@ def block_windows(rows: list[dict]) -> Iterator[dict]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("context_turns", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.int64()))])
     rows: list[dict] = []
+    encode = encoder(*vocabulary())
     for group in _groups(batches, ("conv_id", "block")):
-        rows += block_windows(group)
+        rows += block_windows(group, lambda text: len(encode(text)))
         if len(rows) >= 256:
             yield pa.RecordBatch.from_pylist(rows, schema)
             rows = []
@@ -148,20 +147,16 @@ def chat_windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     scratch = Scratch(spark, "chat")
     empty = F.lit("")
     own = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
-    sized = own.mapInArrow(_turns, "conv_id long, turn long, role string, text string, tokens long")
     # ranges of the order, not conversations, are dealt out: a long one lies in many tasks
-    placed = with_running(sized, scratch, [F.col(c) for c in ("conv_id", "turn", "role", "text")], {"place": F.lit(1)})
-    placed = scratch.table(placed)
-    starts = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("place").alias("_start"))
-    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("at", F.col("place") - F.col("_start")).drop("_conv", "_start", "place")
-    placed = placed.withColumn("block", F.floor(F.col("at") / BLOCK))
-    mine = placed.withColumn("why", F.lit(OWN))
-    before = placed.where(F.col("at") % BLOCK >= BLOCK - REPEAT).withColumn("block", F.col("block") + 1).withColumn("why", F.lit(BEFORE))
-    ends = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.max("block").alias("_last"))
-    system = placed.where("at = 0 and role = 'system'").join(ends, F.col("conv_id").eqNullSafe(F.col("_conv"))).where("_last > 0")
-    system = system.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last")))).drop("_conv", "_last").withColumn("why", F.lit(SYSTEM))
-    kept = before.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv"))).where("block <= _last").drop("_conv", "_last")
-    parts = mine.unionByName(kept).unionByName(system)
+    placed = with_place(own, scratch, [F.col(c) for c in ("conv_id", "turn", "role", "text")])
+    starts = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("place").alias("_first"), F.max("place").alias("_end"))
+    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("at", F.col("place") - F.col("_first"))
+    block, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("_end") - F.col("_first")) / BLOCK)
+    here = lambda number, why: F.struct(number.alias("block"), F.lit(why).alias("why"))
+    none = F.array().cast("array<struct<block:bigint,why:int>>")
+    before = F.when((F.col("at") % BLOCK >= BLOCK - REPEAT) & (block < last), F.array(here(block + 1, BEFORE))).otherwise(none)
+    system = F.when((F.col("at") == 0) & (F.col("role") == "system") & (last > 0), F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(last, F.lit(1))), lambda b: here(b, SYSTEM))).otherwise(none)
+    parts = placed.withColumn("_in", F.explode(F.concat(F.array(here(block, OWN)), before, system))).select("conv_id", "role", "text", "at", "_in.block", "_in.why")
     order = ("conv_id", "block", "why", "at")
     dealt = parts.repartition(shuffle_partitions(spark), "conv_id", "block").sortWithinPartitions(*order)
     return dealt.mapInArrow(_windows, "conv_id long, window long, context_turns int, formatted string, loss array<long>")

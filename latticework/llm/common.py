@@ -1,4 +1,4 @@
-"""What the operators share: tables in the cluster's shared folder, ranks and
+"""What the operators share: tables in the cluster's shared folder, places and
 components over data of any size, and slices of Arrow batches."""
 
 from __future__ import annotations
@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.scratch import shared_folder
 
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
@@ -113,24 +114,24 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
-def with_running(frame: DataFrame, scratch: Scratch, order: list[Column], sizes: dict[str, Column]) -> DataFrame:
-    """``frame`` with, for each name in ``sizes``, the sum of that column over all rows before, in ``order``.
+def with_place(frame: DataFrame, scratch: Scratch, order: list[Column], name: str = "place") -> DataFrame:
+    """``frame`` with each row's place, from 0, among all rows in ``order``.
 
-    The rows are dealt out by ranges of the order and summed in each range; the
-    ranges' totals, one row each, give every range its start.  So no task holds
-    more than a range, and the rows are written once before the sums are used.
-    ``order`` must tell rows apart where ranges are to stay even.
+    The rows are dealt out by ranges of the order, numbered within them and
+    written; the ranges' counts, one row each, give every range its first place.
+    So no task holds more than a range.  ``order`` must tell rows apart where
+    ranges are to stay even.
     """
     spark = frame.sparkSession
-    cut = frame.withColumns(sizes).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    cut = scratch.table(cut.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    within = Window.partitionBy("_range").orderBy("_at").rowsBetween(-(2**63), -1)
-    totals = cut.groupBy("_range").agg(*(F.sum(n).alias(f"_total_{n}") for n in sizes)).collect()  # one row a partition
-    starts, at = [], dict.fromkeys(sizes, 0)
-    for row in sorted(totals, key=lambda r: r["_range"]):
-        starts.append((row["_range"], *at.values()))
-        at = {n: v + (row[f"_total_{n}"] or 0) for n, v in at.items()}
-    start = spark.createDataFrame(starts, "_range int, " + ", ".join(f"_start_{n} long" for n in sizes))
-    out = cut.withColumns({f"_run_{n}": F.coalesce(F.sum(n).over(within), F.lit(0)) for n in sizes})
-    out = out.join(F.broadcast(start), "_range")  # one row a shuffle partition
-    return out.withColumns({n: F.col(f"_run_{n}") + F.col(f"_start_{n}") for n in sizes}).drop("_range", "_at", *(f"_{k}_{n}" for n in sizes for k in ("run", "start")))
+    cut = frame.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    # an id is the number of its partition, then of its row there
+    cut = scratch.table(cut.withColumn("_at", F.monotonically_increasing_id()))
+    range_of, row = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = cut.groupBy(range_of.alias("_range")).count().collect()  # one row a shuffle partition
+    starts, at = [], 0
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        starts.append((r["_range"], at))
+        at += r["count"]
+    start = spark.createDataFrame(starts, "_range long, _start long")
+    out = cut.withColumn("_range", range_of).join(F.broadcast(start), "_range")  # as many rows
+    return out.withColumn(name, F.col("_start") + row).drop("_range", "_start", "_at")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from latticework.llm.common import Scratch, raw_texts, with_running
+from latticework.llm.common import Scratch, raw_texts, with_place
 
 WEIGHTS = (5, 2, 1)
 MOST, SEEDS = 3, 32
@@ -40,7 +40,7 @@ def source_targets(totals: DataFrame, scratch: Scratch, weights: tuple[int, ...]
     round raises the level, the target of a unit of weight, until no source that
     isn't stopped lies above its most; a round is one sum over the sources.
     """
-    ranked = with_running(totals, scratch, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    ranked = with_place(totals, scratch, [F.col("source").asc_nulls_last()], "rank")
     ranked = scratch.table(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))))
     level, stopped = 0.0, -1
     while True:
