@@ -135,11 +135,17 @@ def merged(states: States, extra: Sequence[str] | None = None) -> States:
     return States(states.dims, states.targets, rows, {m.name: states.keyed[m.name].groupBy(*keys, KEY).agg(m.merge(F.col(STATE)).alias(STATE)) for m in keyed})
 
 
-def cube_states(df: DataFrame, dims: Sequence[str], targets: Sequence[Target], rules: Sequence[Rule] = (), lists: Lists | None = None, extra: Sequence[str] = ()) -> States:
-    """The cube of projected rows: the base cuboid first, so that the lattice multiplies groups, not rows."""
-    base = base_cuboid(df, sorted(dims), targets, extra)
-    plan = resolve(dims, rules)
-    lists = lists or {}
+def cube_states(df: DataFrame, dims: Sequence[str], targets: Sequence[Target], rules: Sequence[Rule] = (), lists: Lists | None = None, extra: Sequence[str] = (), pre_aggregate: bool = True) -> States:
+    """The cube of projected rows.
+
+    The base cuboid comes first, so that the lattice multiplies groups, not rows.
+    Where there are nearly as many groups as rows, ``pre_aggregate=False`` saves
+    that shuffle: rows are multiplied, combined before the one shuffle left.
+    """
+    dims, plan, lists = sorted(dims), resolve(dims, rules), lists or {}
+    if not pre_aggregate:
+        return base_cuboid(_lattice(df, plan, lists), dims, targets, extra)
+    base = base_cuboid(df, dims, targets, extra)
     grown = States(base.dims, base.targets, _lattice(base.flat, plan, lists), {n: _lattice(k, plan, lists) for n, k in base.keyed.items()})
     return merged(grown, list(extra))
 

@@ -69,6 +69,13 @@ def test_every_metric_in_every_roll_up(spark, data):
     assert shown(cube(df, ["c", "a", "b"], TARGETS)) == brute(data)
 
 
+def test_without_the_base_cuboid(spark, data):
+    dims = ["a", "b", "c"]
+    rows_ = projected(spark.createDataFrame(data, SCHEMA), dims, TARGETS)
+    rules = [Filter("b", "WList", ("p",))]
+    assert shown(finalize(cube_states(rows_, dims, TARGETS, rules, pre_aggregate=False))) == brute(data, lambda k, u: "b" not in u or k["b"] == "p")
+
+
 @pytest.mark.parametrize(
     ("rules", "sets", "passes"),
     [
