@@ -11,7 +11,7 @@ gradients through the chosen maxima only).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ SEGMENT = 128  # a chunk is two neighbouring segments
 SAMPLE_ROWS = 1200  # labelled rows the network is fitted on, at most
 EPOCHS, BATCH, RATE = 14, 48, 0.01
 _PAD = bytes(WIDTH)
+_TOGETHER = 1 << 14  # places scored in one go: their filter values fit a processor's cache
 
 
 @dataclass
@@ -35,7 +36,6 @@ class Network:
     hidden_bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
-    _tables: np.ndarray | None = field(default=None, repr=False)
 
     @staticmethod
     def fresh(seed: int) -> Network:
@@ -50,30 +50,53 @@ class Network:
         """For each tap, what each byte value adds to each filter."""
         return np.einsum("be,wef->wbf", self.embed, self.filters)
 
-
-def _pooled(tables: np.ndarray, raws: list[bytes], where: bool) -> tuple[np.ndarray, ...]:
-    """The filters' maxima in each segment, the first segment of each text and, if asked, where the maxima are."""
+    def pair_tables(self) -> np.ndarray:
+        """The same for every two neighbouring bytes and two neighbouring taps: half the look-ups."""
+        t = self.tables()
+        return (t[0::2, :, None] + t[1::2, None, :]).reshape(WIDTH // 2, 1 << 16, FILTERS)
+
+
+def _levels(tables: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    """Each filter's value at the first ``n`` places, from tables of single bytes or of pairs."""
+    step = WIDTH // len(tables)
+    at = data.astype(np.intp)
+    if step == 2:
+        at = at[:-1] * 256 + at[1:]
+    level, more = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.float32)
+    np.take(tables[0], at[:n], axis=0, out=level, mode="clip")
+    for j in range(1, len(tables)):
+        np.take(tables[j], at[step * j : step * j + n], axis=0, out=more, mode="clip")
+        level += more
+    return level
+
+
+def _places(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The texts' bytes, padded; the first place of each segment; each text's first segment and
+    number of segments; the places whose windows would read into the next text."""
     data = np.frombuffer(b"".join(r + _PAD for r in raws) + _PAD, np.uint8)
     size = np.array([len(r) + WIDTH for r in raws])
     begin = np.cumsum(size) - size
     each = -(-np.maximum(size - WIDTH, 1) // SEGMENT)
     first = np.cumsum(each) - each
     at = np.repeat(begin, each) + (np.arange(each.sum()) - np.repeat(first, each)) * SEGMENT
-    n = len(data) - WIDTH
-    level = tables[0].take(data[:n], axis=0)
-    for j in range(1, WIDTH):
-        level += tables[j].take(data[j : n + j], axis=0)
-    # windows that would read into the next text don't count
-    level[(begin + size - WIDTH + 1)[:, None] + np.arange(WIDTH - 1)] = -np.inf
-    top = np.maximum.reduceat(level, at)
-    if not where:
-        return top, first, each
-    owner = np.repeat(np.arange(len(at)), np.diff([*at, n]))
-    hit = level == top[owner]
-    row, col = np.nonzero(hit)
-    place = np.zeros(top.shape, np.int64)
-    place[owner[row], col] = row
-    return top, first, each, place, data
+    beyond = ((begin + size - WIDTH + 1)[:, None] + np.arange(WIDTH - 1)).ravel()
+    return data, at, first, each, beyond
+
+
+def _maxima(tables: np.ndarray, data: np.ndarray, at: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+    """Each filter's maximum in each segment, some thousand places at a time."""
+    out = np.empty((len(at), FILTERS), np.float32)
+    ends = np.append(at[1:], len(data) - WIDTH)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + _TOGETHER)))
+        lo, hi = at[i], ends[j - 1]
+        level = _levels(tables, data[lo : hi + WIDTH], hi - lo)
+        some = beyond[np.searchsorted(beyond, lo) : np.searchsorted(beyond, hi)]
+        level[some - lo] = -np.inf
+        out[i:j] = np.maximum.reduceat(level, at[i:j] - lo)
+        i = j
+    return out
 
 
 def _features(top: np.ndarray, first: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,14 +121,23 @@ def _head(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hidden, 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.out_bias, -30, 30)))
 
 
-def scores(net: Network, raws: list[bytes]) -> np.ndarray:
-    """The probability of label 1 for each whole text."""
-    top, first, each = _pooled(net.tables(), raws, False)
+def scores(net: Network, raws: list[bytes], pairs: np.ndarray | None = None) -> np.ndarray:
+    """The probability of label 1 for each whole text; ``pairs`` are the network's pair tables."""
+    data, at, first, each, beyond = _places(raws)
+    top = _maxima(net.pair_tables() if pairs is None else pairs, data, at, beyond)
     return _head(net, _features(top, first, each)[0])[1].astype(np.float64)
 
 
 def _gradients(net: Network, raws: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
-    top, first, each, place, data = _pooled(net.tables(), raws, True)
+    data, at, first, each, beyond = _places(raws)
+    n = len(data) - WIDTH
+    level = _levels(net.tables(), data, n)
+    level[beyond] = -np.inf
+    top = np.maximum.reduceat(level, at)
+    owner = np.repeat(np.arange(len(at)), np.diff([*at, n]))
+    row, col = np.nonzero(level == top[owner])
+    place = np.zeros(top.shape, np.int64)  # where each maximum is
+    place[owner[row], col] = row
     x, chunks, second = _features(top, first, each)
     hidden, p = _head(net, x)
     err = (p - wanted).astype(np.float32) / len(raws)
@@ -190,9 +222,10 @@ def score_texts(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", most_bytes=1 << 18):
+        pairs = shared.value.pair_tables() if shared.value is not None else None
+        for batch in slices(batches, "text", most_bytes=1 << 16):
             raws = [r or b"" for r in raw_texts(batch.column("text"))]
-            found = scores(shared.value, raws) if shared.value is not None else np.full(len(raws), 0.5)
+            found = scores(shared.value, raws, pairs) if pairs is not None else np.full(len(raws), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -205,9 +238,10 @@ def keep_good(docs: DataFrame, net: Network | None, text: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, most_bytes=1 << 18):
-            if shared.value is not None:
-                batch = batch.filter(pa.array(scores(shared.value, [r or b"" for r in raw_texts(batch.column(text))]) >= 0.5))
+        pairs = shared.value.pair_tables() if shared.value is not None else None
+        for batch in slices(batches, text, most_bytes=1 << 16):
+            if pairs is not None:
+                batch = batch.filter(pa.array(scores(shared.value, [r or b"" for r in raw_texts(batch.column(text))], pairs) >= 0.5))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)
