@@ -73,20 +73,21 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def spans(tokens: list[int], history: list[int], system: int, budget: int = BUDGET) -> Iterator[tuple[int, int, int]]:
+def spans(tokens: list[int], history: list[int], system: int, inside: bool = False, budget: int = BUDGET) -> Iterator[tuple[int, int, int]]:
     """(first, end, repeated) of each window over a block's ``tokens``.
 
     ``history`` holds the tokens of the turns before the block, the nearest last;
-    ``system`` those of the system turn where it isn't the first of the block.
+    ``system`` those of the system turn, which is the block's first if ``inside``.
     """
     every = [*history, *tokens]
     sums = [0, *accumulate(every)]
     first = len(history)
     while first < len(every):
+        room = budget - (0 if inside and first == len(history) else system)
         repeated = 0
-        while repeated < min(REPEAT, first) and sums[first] - sums[first - repeated - 1] <= HISTORY and system + sums[first + 1] - sums[first - repeated - 1] <= budget:
+        while repeated < min(REPEAT, first) and sums[first] - sums[first - repeated - 1] <= HISTORY and sums[first + 1] - sums[first - repeated - 1] <= room:
             repeated += 1
-        end = max(first + 1, bisect_right(sums, budget - system + sums[first - repeated]) - 1)
+        end = max(first + 1, bisect_right(sums, room + sums[first - repeated]) - 1)
         yield first - len(history), end - len(history), repeated
         first = end
 
@@ -107,12 +108,12 @@ def block_windows(rows: list[dict], count: Callable[[str], int]) -> Iterator[dic
     system = [r for r in rows if r["why"] == SYSTEM]
     before = [r for r in rows if r["why"] == BEFORE]
     own = [r for r in rows if r["why"] == OWN]
-    # the retained system turn isn't repeated as history too
-    before = [r for r in before if not (system and r["at"] == 0)]
-    for number, (first, end, repeated) in enumerate(spans([r["tokens"] for r in own], [r["tokens"] for r in before], sum(r["tokens"] for r in system))):
-        kept = own[0] if not system and own[0]["at"] == 0 and own[0]["role"] == "system" and first else None
+    inside = own[0]["at"] == 0 and own[0]["role"] == "system"
+    system = own[:1] if inside else system
+    for number, (first, end, repeated) in enumerate(spans([r["tokens"] for r in own], [r["tokens"] for r in before], sum(r["tokens"] for r in system), inside)):
         back = [*before, *own][len(before) + first - repeated : len(before) + first]
-        context = [*system, *([kept] if kept and kept not in back else []), *back]
+        # the system turn leads, unless it is in the span itself
+        context = [*(system if first or not inside else []), *(r for r in back if not (inside and r is own[0]))]
         text, mask = "", []
         for k, r in enumerate([*context, *own[first:end]]):
             turn, a, b = format_turn(r["role"], r["text"])

@@ -24,19 +24,30 @@ def test_template_is_reversible(turns):
 
 
 def test_spans_cover_each_turn_once_within_the_budget():
-    for tokens, history, system in (([10] * 300, [], 0), ([700, 600, 5, 5, 2000, 3], [40, 300, 20], 90), ([1], [], 2000), ([400] * 9, [100] * 8, 50)):
+    for tokens, history, system, inside in (([10] * 300, [], 0, False), ([700, 600, 5, 5, 2000, 3], [40, 300, 20], 90, False), ([1], [], 2000, False), ([400] * 9, [100] * 8, 50, False), ([300, *[100] * 40], [], 300, True)):
         at = 0
         every = [*history, *tokens]
-        for first, end, repeated in chat.spans(tokens, history, system):
+        for first, end, repeated in chat.spans(tokens, history, system, inside):
             assert first == at and end > first and repeated <= chat.REPEAT
             back = every[len(history) + first - repeated : len(history) + first]
             assert sum(back) <= chat.HISTORY
-            used = system + sum(back) + sum(tokens[first:end])
+            used = (0 if inside and first == 0 else system) + sum(back) + sum(tokens[first:end])
             assert used <= chat.BUDGET or end == first + 1
             at = end
         assert at == len(tokens)
 
 
+def test_windows_keep_to_the_budget():
+    count = lambda text: len(text) // 4
+    rows = [{"conv_id": 1, "at": i, "role": "system" if i == 0 else "assistant", "text": "x" * (400 if i == 0 else 60 + 7 * i), "block": 0, "why": chat.OWN} for i in range(60)]
+    windows = list(chat.block_windows(rows, count))
+    assert len(windows) > 3
+    for w in windows:
+        assert count(w["formatted"]) <= chat.BUDGET
+        assert [r for r, _ in chat.parse(w["formatted"])].count("system") == 1
+        assert chat.parse(w["formatted"])[0][0] == "system"
+
+
 def digest(turns):
     said = "".join(t for r, t in turns if r == "assistant")
     return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()
