@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -40,3 +46,18 @@ def test_entry_and_names(spark):
     queries = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
     assert all(callable(q) for q in queries.values())
+
+
+def test_all_else_imports_without_the_optional_folder(tmp_path):
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "latticework", tmp_path / "latticework", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = "import __spark_entry__ as e; q = e.queries(); assert 'cube_3d' in q and 'pipeline' not in q and not any(n.startswith('op1') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_nothing_else_imports_the_optional_folder():
+    root = Path(__spark_entry__.__file__).parent / "latticework"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "latticework.llm" not in path.read_text(), path
