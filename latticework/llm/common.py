@@ -86,6 +86,8 @@ def _with_least(edges: DataFrame, node: str, other: str) -> DataFrame:
     """``edges`` with ``m``, the least neighbour of ``node`` among those below it, NULL if it has none.
 
     A hub's edges are dealt to ``SALTS`` tasks by their other end, and its one row to each of them.
+    Where Spark finds the rows few enough to broadcast, what it sends is ``SALTS`` times the size it
+    checked at most.
     """
     least = edges.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("m")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = edges.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
