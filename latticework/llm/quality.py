@@ -23,7 +23,8 @@ from latticework.llm.common import raw_texts, slices
 WIDTH, FILTERS, EMBED, HIDDEN = 8, 16, 8, 16
 SEGMENT = 128  # a chunk is two neighbouring segments
 SAMPLE_ROWS = 1200  # labelled rows the network is fitted on, at most
-EPOCHS, BATCH, RATE = 14, 48, 0.01
+EPOCHS, BATCH, RATE = 10, 48, 0.01
+PIECES = 5  # good texts of a batch of which a short piece is learned instead
 _PAD = bytes(WIDTH)
 _TOGETHER = 1 << 14  # places scored in one go: their filter values fit a processor's cache
 
@@ -83,8 +84,8 @@ def _places(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     return data, at, first, each, beyond
 
 
-def _maxima(tables: np.ndarray, data: np.ndarray, at: np.ndarray, beyond: np.ndarray) -> np.ndarray:
-    """Each filter's maximum in each segment, some thousand places at a time."""
+def _maxima(tables: np.ndarray, data: np.ndarray, at: np.ndarray, beyond: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Each filter's maximum in each segment, some thousand places at a time; ``place`` gets where they are."""
     out = np.empty((len(at), FILTERS), np.float32)
     ends = np.append(at[1:], len(data) - WIDTH)
     i = 0
@@ -95,6 +96,10 @@ def _maxima(tables: np.ndarray, data: np.ndarray, at: np.ndarray, beyond: np.nda
         some = beyond[np.searchsorted(beyond, lo) : np.searchsorted(beyond, hi)]
         level[some - lo] = -np.inf
         out[i:j] = np.maximum.reduceat(level, at[i:j] - lo)
+        if place is not None:
+            owner = np.repeat(np.arange(i, j), ends[i:j] - at[i:j])
+            row, col = np.nonzero(level == out[owner])
+            place[owner[row], col] = row + lo
         i = j
     return out
 
@@ -130,14 +135,8 @@ def scores(net: Network, raws: list[bytes], pairs: np.ndarray | None = None) ->
 
 def _gradients(net: Network, raws: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
     data, at, first, each, beyond = _places(raws)
-    n = len(data) - WIDTH
-    level = _levels(net.tables(), data, n)
-    level[beyond] = -np.inf
-    top = np.maximum.reduceat(level, at)
-    owner = np.repeat(np.arange(len(at)), np.diff([*at, n]))
-    row, col = np.nonzero(level == top[owner])
-    place = np.zeros(top.shape, np.int64)  # where each maximum is
-    place[owner[row], col] = row
+    place = np.zeros((len(at), FILTERS), np.int64)
+    top = _maxima(net.tables(), data, at, beyond, place)
     x, chunks, second = _features(top, first, each)
     hidden, p = _head(net, x)
     err = (p - wanted).astype(np.float32) / len(raws)
@@ -155,16 +154,24 @@ def _gradients(net: Network, raws: list[bytes], wanted: np.ndarray) -> list[np.n
         share = np.add.reduceat(same, first, dtype=np.float32)
         d_chunk += same * (dx[:, k * FILTERS : (k + 1) * FILTERS] / np.maximum(share, 1))[text]
     d_top += np.where(from_first, d_chunk, 0)
-    np.add.at(d_top, second, np.where(from_first, 0, d_chunk))
+    d_top[second[~last]] += np.where(from_first, 0, d_chunk)[~last]  # a last segment is its own second
     d_embed, d_filters = np.zeros_like(net.embed), np.zeros_like(net.filters)
     for j in range(WIDTH):
         byte = data[place + j]  # segments x filters
         taken = net.embed[byte]
         d_filters[j] = np.einsum("sfe,sf->ef", taken, d_top)
-        np.add.at(d_embed, byte.ravel(), (d_top[:, :, None] * net.filters[j].T[None]).reshape(-1, EMBED))
+        for e in range(EMBED):
+            d_embed[:, e] += np.bincount(byte.ravel(), (d_top * net.filters[j, e]).ravel(), 256)
     return [d_embed, d_filters, x.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ err, err.sum(keepdims=True)]
 
 
+def _piece(raw: bytes, rng: np.random.Generator) -> bytes:
+    """Up to a hundred bytes of a text, from the start of a word."""
+    at = int(rng.integers(0, max(1, len(raw) - 20)))
+    at = raw.find(b" ", at) + 1
+    return raw[at : at + int(rng.integers(1, 100))]
+
+
 def train(raws: list[bytes], labels: np.ndarray, seed: int = 7) -> Network | None:
     """A network fitted on the texts; None if either label is absent. Both labels weigh the same."""
     labels = np.asarray(labels, np.float32)
@@ -178,7 +185,10 @@ def train(raws: list[bytes], labels: np.ndarray, seed: int = 7) -> Network | Non
     while step < total:
         step += 1
         chosen = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
-        grads = _gradients(net, [raws[i] for i in chosen], labels[chosen])
+        texts = [raws[i] for i in chosen]
+        # short good texts are rare: a few pieces of longer ones keep them from being taken for repetition
+        texts[-PIECES:] = [_piece(t, rng) for t in texts[-PIECES:]]
+        grads = _gradients(net, texts, labels[chosen])
         rate = RATE * min(1, 2 * (1 - step / (total + 1)))
         for w, g, (m, v) in zip(net.weights(), grads, moments, strict=True):
             m += 0.1 * (g - m)
