@@ -3,7 +3,7 @@
 Every line of a whole text that holds a hint word is cut into candidate blocks of
 at most ``BLOCK`` bytes, half overlapping where a line is longer.  A block is
 compressed with zstandard alone and with each template as raw dictionary; the
-reduction in size ranks the templates.  The best ``RANKED`` of each block are
+reduction in size ranks the templates.  All that reduce it by ``LEAST_GAIN`` are
 confirmed by the exact differences in wording: all key words (names and versions)
 must be there, at most a tenth of the words may be missing or added, and no other
 version or name may stand among them.
@@ -60,7 +60,7 @@ HINTS = (b"licens", b"permission", b"permitted", b"public domain", b"redistribut
 # Words that tell one license from another.
 NAMES = frozenset("apache mit gnu lesser affero general bsd 2-clause 3-clause mozilla cc cc0 by by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution attribution-sharealike attribution-noncommercial universal unencumbered".split())
 
-BLOCK, RANKED, MOST_OFF, LEAST_GAIN = 1024, 3, 0.1, 0.2
+BLOCK, MOST_OFF, LEAST_GAIN = 1024, 0.1, 0.2
 _WORD = re.compile(r"[^\W_]+(?:[-./][^\W_]+)*")
 
 
@@ -156,7 +156,7 @@ def scan_text(raw: bytes | None) -> list[tuple[int, int, str, float, str, str]]:
             open_ = [w for w in words if all(w[2] <= a or b <= w[1] for a, b in taken)]
             shown = " ".join(text[a:b] for _, a, b in open_).lower().encode()
             ranks = ranked(shown) if any(h in shown for h in HINTS) else []
-            close = [(d, gain, t) for gain, t in ranks[:RANKED] if (d := differences(t, open_))]
+            close = [(d, gain, t) for gain, t in ranks if (d := differences(t, open_))]
             if close:
                 (first, end, missing, added), gain, t = min(close, key=lambda c: (len(c[0][2]) + len(c[0][3]), c[0][0] - c[0][1], -c[1]))
                 a, b = open_[first][1], open_[end - 1][2]

@@ -21,6 +21,12 @@ def test_other_versions_and_names_are_not_confirmed():
         assert scan_text(said.encode()) == []
 
 
+def test_every_ranked_template_is_tried():
+    for other in ("This work is licensed under the GNU General Public License, version 1.", "Licensed under CC BY-NC 3.0. Licensed under CC BY-NC-SA 3.0."):
+        for name, wording in (("MIT", "Released under the MIT License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.")):
+            assert [f[2] for f in scan_text(f"{other} {wording}".encode())] == [name]
+
+
 def test_small_changes_are_told():
     text = TEMPLATES[4][1].replace("hereby", "kindly")
     (found,) = scan_text(text.encode())
