@@ -1,10 +1,11 @@
 """License scans by conditional compression (operator 2).
 
-Every line of a whole text that holds a hint word is cut into candidate blocks of
-at most ``BLOCK`` bytes, half overlapping where a line is longer.  A block is
-compressed with zstandard alone and with each template as raw dictionary; the
-reduction in size ranks the templates.  All that reduce it by ``LEAST_GAIN`` are
-confirmed by the exact differences in wording: all key words (names and versions)
+All that lies within ``REACH`` words of a hint word, the most a declaration can
+have, is cut into candidate blocks of at most ``BLOCK`` words that overlap by
+half, so each declaration lies whole in a block, over whatever lines, indents and
+comment marks it runs.  The words of a block are compressed with zstandard alone
+and with each template as raw dictionary; the reduction in size ranks the templates.
+Each is confirmed by the exact differences in wording: all key words (names and versions)
 must be there, at most a tenth of the words may be missing or added, and no other
 version or name may stand among them.
 """
@@ -60,8 +61,9 @@ HINTS = (b"licens", b"permission", b"permitted", b"public domain", b"redistribut
 # Words that tell one license from another.
 NAMES = frozenset("apache mit gnu lesser affero general bsd 2-clause 3-clause mozilla cc cc0 by by-sa by-nc by-nd by-nc-sa by-nc-nd creative commons attribution attribution-sharealike attribution-noncommercial universal unencumbered".split())
 
-BLOCK, MOST_OFF, LEAST_GAIN = 1024, 0.1, 0.2
+MOST_OFF = 0.1
 _WORD = re.compile(r"[^\W_]+(?:[-./][^\W_]+)*")
+_HINT = re.compile("|".join(r"[\W_]+".join(h.decode().split()) for h in HINTS), re.IGNORECASE)
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -69,6 +71,16 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def rejoined(words: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+    """The words, those of a template that a line feed after a hyphen divides in one again."""
+    out: list[tuple[str, int, int]] = []
+    for word in words:
+        if out and text[out[-1][2]] == "-" and "\n" in (between := text[out[-1][2] + 1 : word[1]]) and not between.split("\n")[0].strip() and f"{out[-1][0]}-{word[0]}" in _hyphened():
+            word = (f"{out[-1][0]}-{word[0]}", out.pop()[1], word[2])
+        out.append(word)
+    return out
+
+
 def is_key(word: str) -> bool:
     return word in NAMES or any(c.isdigit() for c in word)
 
@@ -85,84 +97,121 @@ def _template_words() -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(w for w, _, _ in words_of(t)) for _, t in TEMPLATES)
 
 
+@cache
+def _hyphened() -> frozenset[str]:
+    """The hyphened words of the templates, and what a line feed after a later hyphen leaves of them."""
+    parts = [w.split("-") for words in _template_words() for w in words]
+    return frozenset("-".join(p[:n]) for p in parts for n in range(2, len(p) + 1))
+
+
+REACH = int(max(map(len, _template_words())) * (1 + MOST_OFF))
+BLOCK = 2 * REACH  # words
+_LONGEST = max(len(w) for words in _template_words() for w in words)
+
+
 def ranked(block: bytes) -> list[tuple[float, int]]:
-    """(reduction, template) of the templates that shrink the lower-case block, the best first:
-    the bytes a template saves, as a share of what the shorter of both takes by itself."""
+    """(reduction, template) of all templates for the lower-case block, the best first: the bytes a
+    template saves, as a share of what the shorter of both takes by itself.  No least reduction is
+    asked for: among much other text an exact wording may save next to nothing."""
     alone, each = _compressors()
     plain = len(alone.compress(block))
     found = []
     for i, c in enumerate(each):
         saved = plain - len(c.compress(block))
         found.append((saved / min(plain, len(TEMPLATES[i][1])), i))
-    return sorted((f for f in found if f[0] >= LEAST_GAIN), key=lambda f: (-f[0], f[1]))
+    return sorted(found, key=lambda f: (-f[0], f[1]))
 
 
 def differences(template: int, words: list[tuple[str, int, int]]) -> tuple[int, int, list[str], list[str]] | None:
     """(first word, end word, missing, added) of the template's best place among ``words``; None if it isn't confirmed."""
     wanted, said = _template_words()[template], [w for w, _, _ in words]
-    blocks = [b for b in SequenceMatcher(None, wanted, said, autojunk=False).get_matching_blocks() if b.size]
-    if not blocks:
-        return None
-    # the longest run anchors the place; runs further off than the template is long belong to other text
-    anchor = max(blocks, key=lambda b: (b.size, -b.b))
-    near = [b for b in blocks if abs((b.b - b.a) - (anchor.b - anchor.a)) <= max(2, len(wanted) // 10)]
-    first, end = near[0].b, near[-1].b + near[-1].size
-    hit = {b.a + k for b in near for k in range(b.size)}
-    kept = {b.b + k for b in near for k in range(b.size)}
-    missing = [w for k, w in enumerate(wanted) if k not in hit]
-    added = [said[k] for k in range(first, end) if k not in kept]
-    if any(map(is_key, missing)) or any(map(is_key, added)) or len(missing) + len(added) > MOST_OFF * len(wanted):
+    most = int(MOST_OFF * len(wanted))
+    there = set(said)
+    absent = [w for w in wanted if w not in there]
+    if len(absent) > most or any(map(is_key, absent)):
         return None
-    return first, end, missing, added
-
-
-def candidate_blocks(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of the blocks to compare, from the lines that hold a hint word."""
-    low = raw.lower()
-    lines, places = set(), []
-    for hint in HINTS:
-        at = low.find(hint)
-        while at >= 0:
-            places.append(at)
-            at = low.find(hint, at + 1)
-    for place in places:
-        begin = low.rfind(b"\n", 0, place) + 1
-        if begin not in lines:
-            lines.add(begin)
-            end = low.find(b"\n", place)
-            end = len(raw) if end < 0 else end
-            if end - begin <= BLOCK:
-                yield begin, raw[begin:end]
-                continue
-            for start in range(begin, max(begin + 1, end - BLOCK // 2), BLOCK // 2):
-                part = low[start : min(end, start + BLOCK)]
-                if any(h in part for h in HINTS):
-                    yield start, raw[start : min(end, start + BLOCK)]
+    # so few differences leave a run of so many words at least
+    least = -(-(len(wanted) - most) // (most + 1))
+    parts = [(0, len(said))]
+    while parts:
+        low, high = parts.pop()
+        if high - low < len(wanted) - most:
+            continue
+        blocks = [b for b in SequenceMatcher(None, wanted, said[low:high], autojunk=False).get_matching_blocks() if b.size]
+        if not blocks:
+            continue
+        # the longest run anchors the place; runs further off than the template is long belong to other text
+        anchor = max(blocks, key=lambda b: (b.size, -b.b))
+        if anchor.size < least:
+            continue
+        near = [b for b in blocks if abs((b.b - b.a) - (anchor.b - anchor.a)) <= max(2, len(wanted) // 10)]
+        first, end = low + near[0].b, low + near[-1].b + near[-1].size
+        hit = {b.a + k for b in near for k in range(b.size)}
+        kept = {low + b.b + k for b in near for k in range(b.size)}
+        missing = [w for k, w in enumerate(wanted) if k not in hit]
+        added = [said[k] for k in range(first, end) if k not in kept]
+        if not (any(map(is_key, missing)) or any(map(is_key, added)) or len(missing) + len(added) > MOST_OFF * len(wanted)):
+            return first, end, missing, added
+        # a wording refused at one place may stand before or after it
+        parts += [(low + anchor.b + anchor.size, high), (low, low + anchor.b)]
+    return None
+
+
+def _start(text: str, place: int) -> int:
+    """Where the ``REACH`` whole words before the word at ``place`` begin."""
+    size = 8 * REACH
+    while True:
+        begin = max(0, place - size)
+        starts = [m.start() for m in _WORD.finditer(text, begin, place)]
+        if len(starts) > REACH + 1:  # the first may be cut
+            return starts[-REACH - 1]
+        if not begin:
+            return 0
+        size *= 2
+
+
+def candidate_blocks(text: str) -> Iterator[list[tuple[str, int, int]]]:
+    """The words, with their places, of the blocks to compare: all within ``REACH`` words of a hint."""
+    hints = [m.start() for m in _HINT.finditer(text)]
+    at = 0
+    while at < len(hints):
+        block: list[tuple[str, int, int]] = []
+        since = -REACH
+        for m in _WORD.finditer(text, _start(text, hints[at])):
+            if len(block) == BLOCK:
+                yield block
+                block = block[REACH:]
+            block.append((m[0].lower(), m.start(), m.end()))
+            since += 1
+            while at < len(hints) and hints[at] < m.end():
+                at, since = at + 1, 0
+            if since == REACH:
+                break
+        yield block
 
 
 def scan_text(raw: bytes | None) -> list[tuple[int, int, str, float, str, str]]:
     """(start, end, license, reduction, missing, added) of each declaration in one whole
     text, by place; start and end in code points. Of overlapping ones the better stays."""
     found = []
-    for offset, block in candidate_blocks(raw or b""):
-        while offset and raw[offset] & 0xC0 == 0x80:  # a block begins with a whole character
-            offset, block = offset - 1, raw[offset - 1 : offset] + block
-        text = block.decode("utf-8", "ignore")
-        words = words_of(text)
+    low = (raw or b"").lower()
+    text = raw.decode("utf-8", "ignore") if any(h.split()[-1] in low for h in HINTS) else ""
+    for block in candidate_blocks(text):
+        words = rejoined(block, text)
         taken: list[tuple[int, int]] = []
         again = True
         while again:  # a block may hold several declarations: each is cut out before the next is ranked
             again = False
             open_ = [w for w in words if all(w[2] <= a or b <= w[1] for a, b in taken)]
-            shown = " ".join(text[a:b] for _, a, b in open_).lower().encode()
+            # longer words are in no template, so their beginnings do for the ranking
+            shown = " ".join(w[: _LONGEST + 1] for w, _, _ in open_).encode()
             ranks = ranked(shown) if any(h in shown for h in HINTS) else []
             close = [(d, gain, t) for gain, t in ranks if (d := differences(t, open_))]
             if close:
                 (first, end, missing, added), gain, t = min(close, key=lambda c: (len(c[0][2]) + len(c[0][3]), c[0][0] - c[0][1], -c[1]))
                 a, b = open_[first][1], open_[end - 1][2]
                 taken.append((a, b))
-                base = len(raw[:offset].decode("utf-8", "ignore"))
-                found.append((base + a, base + b, TEMPLATES[t][0], round(gain, 6), " ".join(missing), " ".join(added)))
+                found.append((a, b, TEMPLATES[t][0], round(gain, 6), " ".join(missing), " ".join(added)))
                 again = True
     kept: list[tuple] = []
     for f in sorted(found, key=lambda f: (len(f[4]) + len(f[5]), f[0] - f[1], f[0])):

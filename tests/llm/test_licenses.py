@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import textwrap
+
 import pytest
 
 from latticework.llm.licenses import BLOCK, TEMPLATES, ranked, scan_licenses, scan_text
@@ -16,6 +19,45 @@ def test_every_template_is_found_in_place(name, wording):
         assert found[0][4:] == ("", "")
 
 
+@pytest.mark.parametrize(("name", "wording"), TEMPLATES)
+def test_every_template_is_found_over_lines(name, wording):
+    for width, mark, feed in ((70, "", "\n"), (70, " * ", "\n"), (70, "# ", "\r\n"), (70, "// ", "\n"), (30, " " * 40, "\n"), (1, "", "\n")):
+        said = feed.join(mark + line for line in textwrap.wrap(wording, width, break_long_words=False))
+        for before, after in (("", ""), ("Ein Wört über alles.\n" * 90, "\nAnd more text follows here.\n" * 90)):
+            text = f"{before}{said}{after}"
+            found = scan_text(text.encode())
+            assert [f[2] for f in found] == [name]
+            start, end = found[0][:2]
+            assert text[start:end].rstrip(".:") == said[len(mark) :].rstrip(".:")
+            assert found[0][4:] == ("", "")
+
+
+def test_a_wording_among_much_other_text_is_found():
+    before = "Oned " * 90 + "\nAnreti the atshin torestouti heshly nteaha erwhst the. A was.\n"
+    for wording in ("Licensed under CC BY-NC 4.0.", "Released under the MIT License."):
+        assert [f[0] for f in scan_text((before + wording).encode())] == [len(before)]
+
+
+def test_a_refused_wording_does_not_hide_a_changed_one():
+    first, second = TEMPLATES[8][1].replace("version 2", "version 1"), TEMPLATES[8][1].replace("modify", "change")
+    text = f"{first}\n{second}"
+    (found,) = scan_text(text.encode())
+    assert found[2] == "GPL-2.0" and found[4:] == ("modify", "change") and found[0] == len(first) + 1
+
+
+def test_dense_and_far_hints_leave_no_gap():
+    rng = random.Random(3)
+    said, places, at = [], [], 0
+    for n in range(300):
+        name, wording = rng.choice(TEMPLATES)
+        between = " ".join(rng.choice(("licensed", "word", "z" * 3000, "ü-x", "-- \n#")) for _ in range(rng.choice((3, 30, 200)))) + "\n"
+        at += len(between)
+        places.append((at, at + len(wording.rstrip(".:")), name))
+        said += [between, wording, "\n"]
+        at += len(wording) + 1
+    assert [f[:3] for f in scan_text("".join(said).encode())] == places
+
+
 def test_other_versions_and_names_are_not_confirmed():
     for said in ("This work is licensed under the GNU General Public License, version 1.", "Licensed under CC BY-NC 3.0.", "Licensed drivers only.", "Released under the moon.", "A permission slip."):
         assert scan_text(said.encode()) == []
