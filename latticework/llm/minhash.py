@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import Scratch, connected_components, raw_texts, shuffle_partitions, slices
@@ -256,15 +256,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without the near-duplicates of others, with all their columns.
 
-    Of each component the document with the smallest doc_id stays.  Of rows with one
-    doc_id one stays, the one with the smallest text; rows with a null doc_id all do.
+    Of each component the document with the smallest doc_id stays.  Where rows share
+    a doc_id, each of its different texts is a document of its own, so one goes only
+    if it is linked with another that stays, of two with one doc_id the larger text;
+    of rows with one doc_id and text, also a null one, the one with the smallest other
+    columns stays.  Rows with a null doc_id all do.
     """
-    found = near_duplicates(docs, doc_id, text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     key = F.col(doc_id).cast("long")
-    out = docs.join(gone, key == F.col("_gone"), "left_anti")
-    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").limit(1).count()
-    if repeated:
-        first = F.row_number().over(Window.partitionBy(doc_id).orderBy(text, *(c for c in docs.columns if c not in (doc_id, text))))
-        out = out.withColumn("_first", first).where(F.col(doc_id).isNull() | (F.col("_first") == 1)).drop("_first")
-    return out
+    repeated = docs.where(key.isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
+    if not repeated:
+        found = near_duplicates(docs, doc_id, text)
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, key == F.col("_gone"), "left_anti")
+    others = [c for c in docs.columns if c != text]
+    rows = docs.where(key.isNotNull()).groupBy(key.alias("_key"), F.col(text).alias("_text")).agg(F.min(F.struct(*others)).alias("_row"))
+    # written, so that each keeps its id
+    rows = Scratch(docs.sparkSession, "repeated-documents").table(rows.withColumn("_id", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, "_id", "_text").select(F.col("doc_id").alias("_id"), "component_id")
+    first = found.join(rows.drop("_row"), "_id").groupBy("component_id").agg(F.min(F.struct("_key", "_text", "_id")).alias("_first"))
+    out = rows.join(first.select("_first._id"), "_id")
+    out = out.select(*(F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))
+    return out.union(docs.where(key.isNull()))

@@ -122,3 +122,18 @@ def test_dropping_keeps_one_row_of_each_component(edges):
     want = brute([tuple(r) for r in edges.select("doc_id", "text").collect()])
     assert set(ids) == set(want.values())
     assert sum(r["doc_id"] is None for r in rows) == 2
+
+
+def test_unrelated_texts_of_one_doc_id_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 0), (2, b, 2), (2, b, 1), (2, c, 0), (2, None, 0), (2, None, 0), (3, f"{c} end", 0), (3, a, 5), (3, None, 0), (None, a, 0), (None, a, 0)]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n long"))
+    # c of 3 is near c of 2, a of 3 is a of 1, and nothing is near a null
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a, 0), (2, b, 1), (2, c, 0), (2, None, 0), (3, None, 0), (None, a, 0), (None, a, 0)], key=repr)
+
+
+def test_of_linked_texts_of_one_doc_id_one_stays(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(7, f"{a} x"), (7, a), (9, f"{a} y")]
+    assert [tuple(r) for r in minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(7, a)]
