@@ -137,3 +137,15 @@ def test_of_linked_texts_of_one_doc_id_one_stays(spark):
     a = " ".join(f"a{i}" for i in range(40))
     rows = [(7, f"{a} x"), (7, a), (9, f"{a} y")]
     assert [tuple(r) for r in minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(7, a)]
+
+
+def test_three_of_four_shingles_are_linked_without_a_band(spark):
+    rows = []
+    for i, word in enumerate(("e10884", "e41626")):
+        a = f"a b c d {word} f g"
+        few, more = shingle_sets([a, f"{a} h"])
+        assert (len(few), len(more)) == (3, 4)
+        assert not set(minhash.band_keys(minhash.registers(few))) & set(minhash.band_keys(minhash.registers(more)))
+        rows += [(2 * i, a), (2 * i + 1, f"{a} h")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {0: 0, 1: 0, 2: 2, 3: 2}
