@@ -60,9 +60,9 @@ def try_double(c: Column | str, default: float | None = None) -> Column:
 
 
 def get_boolean(c: Column | str, default: bool | None = None) -> Column:
-    """True for true, the text ``true`` in any case; other texts and numbers but 1 are false."""
+    """True for true, the text ``true`` in any case, and 1, as a number or text; other texts and numbers are false."""
     said = F.lower(_column(c).cast("string"))
-    return F.coalesce((said == "true") | (said == "1"), F.lit(default).cast("boolean"))
+    return F.coalesce((said == "true") | F.coalesce(said.try_cast("double") == 1, F.lit(False)), F.lit(default).cast("boolean"))
 
 
 def get_string(c: Column | str, default: str | None = None, empty_is_missing: bool = False) -> Column:

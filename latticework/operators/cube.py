@@ -8,6 +8,10 @@
 A roll-up writes the literal ``ALL`` into the dimensions it leaves out, so a value
 ``ALL`` in the data and the roll-up are one group by construction.  Filters decide
 only whether a row joins a roll-up; base rows are never dropped.
+
+Each record becomes one row for all flat metrics and one for each keyed metric that
+has a value, in one pass: however many metrics a report has, its input is scanned
+once and its states are one table that is shuffled once for each step.
 """
 
 from __future__ import annotations
@@ -16,32 +20,39 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.operators.metrics import KEY, STATE, FlatMetric, KeyedMetric, metric, prepared
+from latticework.operators.metrics import BITS, COUNT, KEY, WORD, FlatMetric, KeyedMetric, metric, prepared
 from latticework.plans.cuboid import CuboidPlan, resolve
 from latticework.plans.spec import Filter, ReportSpec, Rule, SpecError, Target
 
 ALL, EMPTY = "ALL", "EMPTY"
 ROWS = "_rows"
+METRIC, FLAT = "_metric", ""  # whose state a row has: a keyed metric's, or (FLAT) all flat ones'
+_STATE = (METRIC, KEY, WORD)
 
 Lists = Mapping[str, "Sequence[str] | DataFrame"]
 
 
 @dataclass
 class States:
-    """Mergeable states of one report: flat ones by key, keyed ones by key and state key."""
+    """Mergeable states of one report: for each key a flat row, and rows of the keyed metrics if there are any."""
 
     dims: list[str]
     targets: tuple[Target, ...]
-    flat: DataFrame
-    keyed: dict[str, DataFrame]
+    rows: DataFrame
 
     @property
     def extra(self) -> list[str]:
         """Key columns besides the dimensions, such as a period."""
-        return [c for c in self.flat.columns if c not in {*self.dims, ROWS, *(t.name for t in self.targets)}]
+        return [c for c in self.rows.columns if c not in {*self.dims, ROWS, *_STATE, BITS, COUNT, *(t.name for t in self.targets)}]
+
+    @property
+    def flat(self) -> DataFrame:
+        """The flat rows alone."""
+        keyed = METRIC in self.rows.columns
+        return self.rows.where(F.col(METRIC) == FLAT).drop(*_STATE, BITS, COUNT) if keyed else self.rows
 
 
 def _metrics(targets: Iterable[Target]) -> tuple[list[FlatMetric], list[KeyedMetric]]:
@@ -62,16 +73,26 @@ def projected(df: DataFrame, dims: Sequence[str], targets: Sequence[Target], kee
     return df.select(*keep, *columns)
 
 
+def _entries(df: DataFrame, keys: Sequence[str], flat: Sequence[FlatMetric], keyed: Sequence[KeyedMetric]) -> DataFrame:
+    """Each record as a flat row and a row for each keyed metric it has a value of."""
+    none = F.lit(None)
+    entry = lambda name, key, word, bits: F.struct(F.lit(name).alias(METRIC), key.cast("string").alias(KEY), word.cast("bigint").alias(WORD), bits.cast("bigint").alias(BITS))
+    entries = [entry(FLAT, none, none, none), *(entry(m.name, *m.entry(F.col(m.name))) for m in keyed)]
+    out = df.select(*keys, *(m.name for m in flat), F.explode(F.array(*entries)).alias("_e"))
+    out = out.select(*keys, *(F.when(F.col(f"_e.{METRIC}") == FLAT, F.col(m.name)).alias(m.name) for m in flat), "_e.*")
+    return out.where((F.col(METRIC) == FLAT) | F.col(KEY).isNotNull() | F.col(WORD).isNotNull())
+
+
 def base_cuboid(df: DataFrame, dims: Sequence[str], targets: Sequence[Target], extra: Sequence[str] = ()) -> States:
     """Grouped by all dimensions (and ``extra`` columns such as a period)."""
     flat, keyed = _metrics(targets)
     keys = [*extra, *dims]
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS), *(m.init(F.col(m.name)).alias(m.name) for m in flat))
-    states = {}
-    for m in keyed:
-        own = df.select(*keys, m.key(F.col(m.name)).alias(KEY), F.col(m.name).alias("_value")).where(F.col(KEY).isNotNull())
-        states[m.name] = own.groupBy(*keys, KEY).agg(m.init(F.col("_value")).alias(STATE))
-    return States(list(dims), tuple(targets), rows, states)
+    states = [m.init(F.col(m.name)).alias(m.name) for m in flat]
+    if not keyed:
+        return States(list(dims), tuple(targets), df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS), *states))
+    rows = _entries(df, keys, flat, keyed).groupBy(*keys, *_STATE)
+    counted = F.count(F.when(F.col(METRIC) == FLAT, 1)).alias(ROWS), F.count(KEY).alias(COUNT), F.bit_or(BITS).alias(BITS)
+    return States(list(dims), tuple(targets), rows.agg(*counted, *states))
 
 
 def _said(rule: Filter) -> Column:
@@ -131,8 +152,11 @@ def merged(states: States, extra: Sequence[str] | None = None) -> States:
     """States with equal keys merged; ``extra`` replaces the key columns besides the dimensions."""
     flat, keyed = _metrics(states.targets)
     keys = [*(states.extra if extra is None else extra), *states.dims]
-    rows = states.flat.groupBy(*keys).agg(F.sum(ROWS).alias(ROWS), *(m.merge(F.col(m.name)).alias(m.name) for m in flat))
-    return States(states.dims, states.targets, rows, {m.name: states.keyed[m.name].groupBy(*keys, KEY).agg(m.merge(F.col(STATE)).alias(STATE)) for m in keyed})
+    sums = [F.sum(ROWS).alias(ROWS), *(m.merge(F.col(m.name)).alias(m.name) for m in flat)]
+    if keyed:
+        keys += _STATE
+        sums += [F.sum(COUNT).alias(COUNT), F.bit_or(BITS).alias(BITS)]
+    return States(states.dims, states.targets, states.rows.groupBy(*keys).agg(*sums))
 
 
 def cube_states(df: DataFrame, dims: Sequence[str], targets: Sequence[Target], rules: Sequence[Rule] = (), lists: Lists | None = None, extra: Sequence[str] = (), pre_aggregate: bool = True) -> States:
@@ -146,17 +170,38 @@ def cube_states(df: DataFrame, dims: Sequence[str], targets: Sequence[Target], r
     if not pre_aggregate:
         return base_cuboid(_lattice(df, plan, lists), dims, targets, extra)
     base = base_cuboid(df, dims, targets, extra)
-    grown = States(base.dims, base.targets, _lattice(base.flat, plan, lists), {n: _lattice(k, plan, lists) for n, k in base.keyed.items()})
-    return merged(grown, list(extra))
+    return merged(States(base.dims, base.targets, _lattice(base.rows, plan, lists)), list(extra))
+
+
+def _largest(rows: DataFrame, keys: Sequence[str], keyed: Sequence[KeyedMetric]) -> DataFrame:
+    """Without the state rows beyond a metric's top.
+
+    All other rows are alone in their window, so one limit holds for all, and Spark
+    applies it before the shuffle too: a group's rare values stay where they are.
+    """
+    tops = {m.name: m.top for m in keyed if m.top > 0}
+    if not tops:
+        return rows
+    limited = F.col(METRIC).isin(*tops)
+    alone = F.when(~limited, F.coalesce(F.col(KEY), F.col(WORD).cast("string")))
+    ranked = rows.withColumn("_alone", alone).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, METRIC, "_alone").orderBy(F.col(COUNT).desc(), KEY)))
+    ranked = ranked.where(F.col("_rank") <= max(tops.values()))
+    for name, top in tops.items():
+        ranked = ranked.where((F.col(METRIC) != name) | (F.col("_rank") <= top))
+    return ranked.drop("_alone", "_rank")
 
 
 def finalize(states: States, report: str | None = None) -> DataFrame:
     """The values shown: key columns, then each target in its order. A target without any value is NULL."""
     flat, keyed = _metrics(states.targets)
     keys = [*states.extra, *states.dims]
-    out = states.flat.select(*keys, *(m.final(F.col(m.name)).alias(m.name) for m in flat))
-    for m in keyed:
-        out = out.join(m.show(states.keyed[m.name], keys), keys, "left")  # keys are never NULL
+    values = [m.final(F.col(m.name)).alias(m.name) for m in flat]
+    if not keyed:
+        out = states.rows.select(*keys, *values)
+    else:
+        rows = _largest(states.rows, keys, keyed).select(*keys, *_STATE, BITS, COUNT, *values)
+        # one row of a group has its flat values, the others none
+        out = rows.groupBy(*keys).agg(*(F.max(m.name).alias(m.name) for m in flat), *(m.show(F.col(METRIC) == m.name).alias(m.name) for m in keyed))
     out = out.select(*keys, *(t.name for t in states.targets))
     return out.withColumn("report", F.lit(report)) if report else out
 

@@ -2,10 +2,12 @@
 
 A *flat* metric has one state column per row of the cube: ``init`` aggregates raw
 values to a state, ``merge`` aggregates states, ``final`` turns a state into the
-value shown.  A *keyed* metric has one state row per key within a row of the cube
-(a distinct value, a bucket, a block of a bitmap), so no state outgrows a row and
-hot groups are combined before the shuffle like any aggregate; ``show`` aggregates
-its states to the value shown.
+value shown.  A *keyed* metric has state rows beside a group's flat row, one for
+each key (a distinct value, a bucket, a word of a bitmap); a state is one integer,
+a count or 64 bits.  So no state outgrows a row, none is larger than the record it
+comes from, and hot groups are combined before the shuffle like any aggregate.
+``entry`` gives a value's key, ``show`` aggregates a group's state rows to the value
+shown.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from latticework.plans.spec import SpecError, Target, parse_range
 
-KEY, STATE = "_key", "_state"
+KEY, WORD, BITS, COUNT = "_key", "_word", "_bits", "_count"
 
 
 @dataclass(frozen=True)
@@ -33,11 +35,12 @@ class FlatMetric:
 
 @dataclass(frozen=True)
 class KeyedMetric:
+    """State rows have ``COUNT``, how often their ``KEY`` was seen, or ``BITS``, the ids seen in their ``WORD``."""
+
     name: str
-    key: Callable[[Column], Column]  # NULL: the value takes no part
-    init: Callable[[Column], Column]
-    merge: Callable[[Column], Column]
-    show: Callable[[DataFrame, list[str]], DataFrame]  # (keys, KEY, STATE) -> (keys, name)
+    entry: Callable[[Column], tuple[Column, Column, Column]]  # KEY, WORD and BITS; KEY and WORD are NULL if the value takes no part
+    show: Callable[[Column], Column]  # an aggregate of the state rows for which the condition holds
+    top: int = 0  # only the keys with the largest counts are shown; 0: all
     keyed = True
 
 
@@ -73,17 +76,18 @@ def _json_pairs(pairs: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(pairs, one), ","), F.lit("}"))
 
 
-def _value_dist(name: str, param: str | None) -> KeyedMetric:
-    top = int(param or 0)
+def _no(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
-    def show(states: DataFrame, keys: list[str]) -> DataFrame:
-        if top > 0:  # the limit is pushed below the shuffle, so a group's rare values stay where they are
-            order = Window.partitionBy(*keys).orderBy(F.col(STATE).desc(), KEY)
-            states = states.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top)
-        pairs = F.array_sort(F.collect_list(F.struct((-F.col(STATE)).alias("o"), F.col(KEY).alias("k"), F.col(STATE).alias("n"))))
-        return states.groupBy(*keys).agg(_json_pairs(pairs).alias(name))
 
-    return KeyedMetric(name, lambda c: c.cast("string"), lambda c: F.count(F.lit(1)), F.sum, show)
+def _pairs(own: Column, order: Column) -> Column:
+    """The group's (key, count) pairs in order; NULL if it has none."""
+    pairs = F.array_sort(F.collect_list(F.when(own, F.struct(order.alias("o"), F.col(KEY).alias("k"), F.col(COUNT).alias("n")))))
+    return F.when(F.size(pairs) > 0, _json_pairs(pairs))
+
+
+def _value_dist(name: str, param: str | None) -> KeyedMetric:
+    return KeyedMetric(name, lambda c: (c.cast("string"), _no("bigint"), _no("bigint")), lambda own: _pairs(own, -F.col(COUNT)), int(param or 0))
 
 
 def _range_dist(name: str, param: str | None) -> KeyedMetric:
@@ -91,30 +95,24 @@ def _range_dist(name: str, param: str | None) -> KeyedMetric:
     last = int((high - low) / step) + 1
     head = f"min:{low},interval:{step},max:{high},"
 
-    def key(c: Column) -> Column:
+    def entry(c: Column) -> tuple[Column, Column, Column]:
         v = c.try_cast("double")
         # a value between the ends counts its steps from zero, not from the least value
         between = (v / step).cast("int") + 1
-        return F.when(v < low, 0).when(v > high, last).when(v.isNotNull() & ~F.isnan(v), between).cast("string")
+        return F.when(v < low, 0).when(v > high, last).when(v.isNotNull() & ~F.isnan(v), between).cast("string"), _no("bigint"), _no("bigint")
 
-    def show(states: DataFrame, keys: list[str]) -> DataFrame:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(KEY).cast("int").alias("o"), F.col(KEY).alias("k"), F.col(STATE).alias("n"))))
-        return states.groupBy(*keys).agg(F.concat(F.lit(head), _json_pairs(pairs)).alias(name))
-
-    return KeyedMetric(name, key, lambda c: F.count(F.lit(1)), F.sum, show)
+    return KeyedMetric(name, entry, lambda own: F.concat(F.lit(head), _pairs(own, F.col(KEY).cast("int"))))
 
 
 def _uv_bitmap(name: str, _: str | None) -> KeyedMetric:
-    """Exact distinct count of non-negative integers: a bitmap for each block of 32,768 ids."""
+    """Exact distinct count of non-negative integers: a word for each block of 64 ids."""
 
-    def key(c: Column) -> Column:
+    def entry(c: Column) -> tuple[Column, Column, Column]:
         v = c.try_cast("bigint")
-        return F.when(v >= 0, F.bitmap_bucket_number(v)).cast("string")
-
-    def show(states: DataFrame, keys: list[str]) -> DataFrame:
-        return states.groupBy(*keys).agg(F.sum(F.bitmap_count(F.col(STATE))).alias(name))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), v.bitwiseAND(F.lit(63)).cast("int"))
+        return _no("string"), F.when(v >= 0, F.shiftright(v, 6)), bit
 
-    return KeyedMetric(name, key, lambda c: F.bitmap_construct_agg(F.bitmap_bit_position(c.try_cast("bigint"))), F.bitmap_or_agg, show)
+    return KeyedMetric(name, entry, lambda own: F.sum(F.when(own, F.bit_count(BITS)).cast("bigint")))
 
 
 REGISTRY: dict[str, Callable[[str, str | None], FlatMetric | KeyedMetric]] = {

@@ -128,6 +128,7 @@ class ReportSpec:
     min_freq: Frequency = Frequency.Daily
     priority: Priority = Priority()
     transform: Callable | None = field(default=None, compare=False)  # (DataFrame, Context) -> DataFrame
+    across_periods: bool = False  # the transform keeps the column period_start and doesn't ask for the period: one scan for many periods
 
     @property
     def dims(self) -> list[str]:

@@ -3,8 +3,11 @@ SELECT for each roll-up, joined by UNION ALL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +20,11 @@ from latticework.operators.cube import cube, cube_states, finalize, merged, proj
 from latticework.plans.frequency import Frequency, format_period
 from latticework.plans.spec import Bind, ConfigSource, Dimension, Filter, Ignore, InputSpec, OutputSpec, ReportSpec, Target, TopFilter, from_xml
 from latticework.scratch import fresh_folder
-from latticework.sinks.export import TableColumn, project, rejects, top_rows
+from latticework.sinks.export import JdbcSink, TableColumn, project, reject_rows, rejects, top_rows
+from latticework.sinks.store import PERIOD, period_time
 from latticework.sources.lists import load_lists
-from latticework.sources.paths import expand, matching
-from latticework.sources.readers import nested_columns, read
+from latticework.sources.paths import MissingInput, expand, matching, resolve
+from latticework.sources.readers import nested_columns, read, with_file
 from latticework.streaming.increments import read_stream_states, start_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,8 +325,7 @@ _JANUARY = datetime(2024, 1, 1)
 def rolled_up(rows: DataFrame, dims: list[str], targets: Sequence[Target], ts: Column, fine: Column, coarse: Callable[[Column], Column]) -> DataFrame:
     """States of fine periods, then merged by coarse period without reading the rows again."""
     states = cube_states(projected(rows.withColumn("period", fine), dims, targets, ["period"]), dims, targets, extra=["period"])
-    states.flat = states.flat.withColumn("period", coarse(F.col("period")))
-    states.keyed = {n: k.withColumn("period", coarse(F.col("period"))) for n, k in states.keyed.items()}
+    states.rows = states.rows.withColumn("period", coarse(F.col("period")))
     return finalize(merged(states))
 
 
@@ -473,19 +476,28 @@ def config_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_rows(record: dict):
-    """A row for each word longer than six letters of a record's first line."""
-    for word in (record["text"] or "").split("\n")[0].split(" "):
-        if len(word) > 6:
-            yield {"lang": record["lang"], "words": 1, "letters": len(word)}
+    """A row for each word longer than six letters of a record's whole text."""
+    for line in (record["text"] or "").split("\n"):
+        for word in line.split(" "):
+            if len(word) > 6:
+                yield {"lang": record["lang"], "words": 1, "letters": len(word)}
 
 
-@registered(lattice_sql("SELECT lang, word FROM (SELECT lang, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS word FROM documents) WHERE length(word) > 6", ("lang",), "CAST(COUNT(*) AS BIGINT) AS words, CAST(SUM(length(word)) AS BIGINT) AS letters", subsets(("lang",))))
+@registered(lattice_sql("SELECT lang, word FROM (SELECT lang, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents) WHERE length(word) > 6", ("lang",), "CAST(COUNT(*) AS BIGINT) AS words, CAST(SUM(length(word)) AS BIGINT) AS letters", subsets(("lang",))))
 def transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row-at-a-time parse function: none, one or many rows a record."""
     df = emit_rows(table(spark, sf_dir, "documents"), _word_rows, "lang string, words long, letters long", ["lang", "text"])
     return cube(df, ["lang"], [Target("words", "SUM"), Target("letters", "SUM")])
 
 
+@registered(lattice_sql("SELECT CAST(o_orderkey % 3 AS VARCHAR) AS part, CAST(o_custkey AS INTEGER) AS k, CAST(trunc(CAST(o_totalprice AS FLOAT)) AS BIGINT) AS price FROM orders", ("part",), "CAST(SUM(k) AS BIGINT) AS keys, CAST(SUM(price) AS BIGINT) AS price, CAST(SUM(CASE WHEN k % 2 = 0 THEN -1 ELSE k END) AS BIGINT) AS odd", subsets(("part",))))
+def int_float_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access as int and float, with a default for what is missing."""
+    odd = F.when(F.col("o_custkey") % 2 != 0, F.col("o_custkey"))
+    df = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("part"), A.get_int(F.col("o_custkey").cast("string")).alias("keys"), A.get_float("o_totalprice").cast("bigint").alias("price"), A.get_int(odd, -1).alias("odd"))
+    return cube(df, ["part"], [Target("keys", "SUM"), Target("price", "SUM"), Target("odd", "SUM")])
+
+
 # -- sources -----------------------------------------------------------------------
 
 _SCAN_SQL = lattice_sql("SELECT c_mktsegment AS segment, c_custkey, c_nationkey FROM customer", ("segment",), "CAST(SUM(c_custkey) AS BIGINT) AS keys, MAX(c_nationkey)::BIGINT AS last", subsets(("segment",)))
@@ -555,60 +567,94 @@ def multi_path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> str:
-    """A day of events in hourly directories, as a log arrives."""
+    """All events in hourly directories, as a log arrives."""
     root = fresh_folder(spark, "log")
-    day = table(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-02 00:00:00'")
-    day.withColumn("d", F.date_format("ts", "yyyy-MM-dd")).withColumn("h", F.date_format("ts", "HH")).repartition("h").write.partitionBy("d", "h").parquet(root)
+    every = table(spark, sf_dir, "events").withColumn("d", F.date_format("ts", "yyyy-MM-dd")).withColumn("h", F.date_format("ts", "HH"))
+    every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "d", "h").write.partitionBy("d", "h").parquet(root)
     return root
 
 
+def _hours(spark: SparkSession, root: str) -> list[datetime]:
+    """The hours of the log."""
+    found = matching(spark, [f"{root}/d=*/h=*"])
+    return sorted(datetime.strptime("/".join(p.split("/")[-2:]), "d=%Y-%m-%d/h=%H") for hits in found.values() for p in hits)
+
+
+def _days(hours: Sequence[datetime]) -> list[datetime]:
+    return sorted({h.replace(hour=0) for h in hours})
+
+
 def _log_spec(name: str, root: str, dims: Sequence[str], targets: Sequence[Target], min_freq: Frequency) -> ReportSpec:
-    return ReportSpec(name, tuple(Dimension(d) for d in dims), tuple(targets), InputSpec((f"{root}/d=%Y-%M-%D/h=%H",), "parquet", check="part"), min_freq=min_freq, transform=lambda df, _: df.withColumn("value", cents("value")).withColumn("user", F.col("user_id") % 10))
+    return ReportSpec(name, tuple(Dimension(d) for d in dims), tuple(targets), InputSpec((f"{root}/d=%Y-%M-%D/h=%H",), "parquet", check="part"), min_freq=min_freq, transform=lambda df, _: df.withColumn("value", cents("value")).withColumn("visitor", F.col("user_id") % 10), across_periods=True)
+
+
+def _day_of(df: DataFrame) -> DataFrame:
+    """The period's day in ``day`` instead of its name."""
+    return df.withColumn("day", F.substring(PERIOD, 1, 10)).drop(PERIOD)
 
 
-_DAY = f"SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS user, user_id, {cents_sql('value')} AS value FROM events WHERE ts < TIMESTAMP '2024-01-02'"
+_LOG = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, CAST(user_id % 10 AS VARCHAR) AS visitor, user_id, {cents_sql('value')} AS value FROM events"
 
 
-@registered("SELECT 'by_type' AS report, event_type AS dim, value FROM (" + lattice_sql(_DAY, ("event_type",), sums("value"), subsets(("event_type",))) + ") UNION ALL SELECT 'by_user', * FROM (" + lattice_sql(_DAY.replace(" AS user,", ' AS "user",'), ('"user"',), sums("value"), [((), None)]) + " UNION ALL SELECT 'ALL', CAST(SUM(value) AS BIGINT) FROM base HAVING COUNT(*) > 0)")
+def _each_day(dim: str, metrics: str) -> str:
+    return lattice_sql(_LOG, ("day", dim), metrics, subsets((dim,)))
+
+
+@registered(f"SELECT 'by_type' AS report, day, event_type AS dim, value FROM ({_each_day('event_type', sums('value'))}) UNION ALL SELECT 'by_visitor', day, visitor, value FROM ({_each_day('visitor', sums('value'))})")
 def shared_scan_multi_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reports over one scan of a day's log, stored and read back."""
+    """Two reports over one scan of every day's log, stored and read back."""
     root = _log(spark, sf_dir)
-    specs = [_log_spec("by_type", root, ["event_type"], [VALUE], Frequency.Daily), _log_spec("by_user", root, ["user"], [VALUE], Frequency.Daily)]
+    days = _days(_hours(spark, root))
+    specs = [_log_spec("by_type", root, ["event_type"], [VALUE], Frequency.Daily), _log_spec("by_visitor", root, ["visitor"], [VALUE], Frequency.Daily)]
     engine = Engine(spark, fresh_folder(spark, "store"))
-    assert len(engine.plan(specs, Frequency.Daily, _JANUARY).units) == 1
-    engine.run(specs, Frequency.Daily, _JANUARY)
-    parts = [engine.result(s, Frequency.Daily, _JANUARY).select(F.lit(s.name).alias("report"), F.col(s.dims[0]).alias("dim"), "value") for s in specs]
+    assert len(engine.plan(specs, Frequency.Daily, days).units) == len(days)
+    engine.run(specs, Frequency.Daily, days)
+    parts = [_day_of(engine.result(s, Frequency.Daily, days)).select(F.lit(s.name).alias("report"), "day", F.col(s.dims[0]).alias("dim"), "value") for s in specs]
     return parts[0].unionByName(parts[1])
 
 
-@registered(lattice_sql(_DAY, ("event_type",), sums("value") + ", CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users", subsets(("event_type",))))
+@registered(_each_day("event_type", sums("value") + ", CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users"))
 def run_hourly_to_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours from the log, the day from the hours' states; run twice, which replaces them."""
+    """All hours from the log in one call, all days from the hours' states; run twice, which replaces them."""
     root = _log(spark, sf_dir)
     spec = _log_spec("events", root, ["event_type"], [VALUE, Target("users", "UVBITMAP", value="user_id")], Frequency.Hourly)
-    engine = Engine(spark, fresh_folder(spark, "store"))
-    hours = [h for h in Frequency.Daily.children(_JANUARY) if h.hour in _hours(spark, root)]
-    for h in hours:
-        engine.run([spec], Frequency.Hourly, h)
-    engine.run([spec], Frequency.Daily, _JANUARY)
-    engine.run([spec], Frequency.Daily, _JANUARY, force=True)
-    return engine.result(spec, Frequency.Daily, _JANUARY)
+    engine, hours = Engine(spark, fresh_folder(spark, "store")), _hours(spark, root)
+    engine.run([spec], Frequency.Hourly, hours)
+    for force in (False, True):
+        engine.run([spec], Frequency.Daily, _days(hours), force)
+    return _day_of(engine.result(spec, Frequency.Daily, _days(hours)))
 
 
-def _hours(spark: SparkSession, root: str) -> set[int]:
-    found = matching(spark, [f"{root}/d=2024-01-01/h=*"])
-    return {int(p.rpartition("=")[2]) for hits in found.values() for p in hits}
+_GRAINS = (
+    ("Daily", "CAST(ts AS DATE)"), ("Weekly", _since_sql(7)), ("Thirtydays", _since_sql(30)), ("Monthly", "date_trunc('month', ts)"), ("Quarterly", "date_trunc('quarter', ts)"),
+    ("HalfYearly", "make_date(year(ts), CASE WHEN month(ts) <= 6 THEN 1 ELSE 7 END, 1)"), ("Yearly", "date_trunc('year', ts)"),
+)
+_GRAINS_SQL = " UNION ALL ".join(f"SELECT '{f}' AS freq, CAST(CAST({p} AS DATE) AS VARCHAR) AS day, event_type, user_id, {cents_sql('value')} AS value FROM events" for f, p in _GRAINS)
 
 
-@registered(lattice_sql(_DAY, ("event_type",), sums("value"), subsets(("event_type",))))
+@registered(lattice_sql(_GRAINS_SQL, ("freq", "day", "event_type"), sums("value") + ", CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users", subsets(("event_type",))))
+def run_every_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from the log; weeks, thirty days and months from days' states; quarters, half years and years from months'."""
+    root = _log(spark, sf_dir)
+    spec = _log_spec("events", root, ["event_type"], [VALUE, Target("users", "UVBITMAP", value="user_id")], Frequency.Daily)
+    engine, days = Engine(spark, fresh_folder(spark, "store")), _days(_hours(spark, root))
+    end, parts = days[-1] + timedelta(days=1), []
+    for freq in (Frequency(name) for name, _ in _GRAINS):
+        starts = [s for s in freq.starts(_JANUARY, end) if any(s <= d < freq.end(s) for d in days)]
+        engine.run([spec], freq, starts)
+        parts.append(_day_of(engine.result(spec, freq, starts)).withColumn("freq", F.lit(freq.value)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@registered(_each_day("event_type", sums("value")))
 def state_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A period written twice is there once."""
+    """Periods written twice are there once."""
     root = _log(spark, sf_dir)
     spec = _log_spec("twice", root, ["event_type"], [VALUE], Frequency.Daily)
-    engine = Engine(spark, fresh_folder(spark, "store"))
-    engine.run([spec], Frequency.Daily, _JANUARY)
-    engine.run([spec], Frequency.Daily, _JANUARY, force=True)
-    return engine.result(spec, Frequency.Daily, _JANUARY)
+    engine, days = Engine(spark, fresh_folder(spark, "store")), _days(_hours(spark, root))
+    engine.run([spec], Frequency.Daily, days)
+    engine.run([spec], Frequency.Daily, days, force=True)
+    return _day_of(engine.result(spec, Frequency.Daily, days))
 
 
 _XML = """<ReportConfig ver="0001">
@@ -623,14 +669,48 @@ _XML = """<ReportConfig ver="0001">
 </ReportConfig>"""
 
 
-@registered(lattice_sql(_DAY.replace(" AS user,", " AS visitor,"), ("event_type", "visitor"), "CAST(SUM(value) AS BIGINT) AS value, MAX(value) AS most", [((), None), (("visitor",), "event_type || '/' || visitor IN ('click/1', 'view/2')")]))
+@registered(lattice_sql(_LOG, ("day", "event_type", "visitor"), "CAST(SUM(value) AS BIGINT) AS value, MAX(value) AS most", [((), None), (("visitor",), "event_type || '/' || visitor IN ('click/1', 'view/2')")]))
 def report_from_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report as an XML definition: input, two-column filter, run and result."""
     root = _log(spark, sf_dir)
     spec = from_xml(_XML % {"root": root}, "xml", lambda df, _: df.withColumn("value", cents("value")).withColumn("visitor", F.col("user_id") % 10))
-    engine = Engine(spark, fresh_folder(spark, "store"))
-    engine.run([spec], Frequency.Daily, _JANUARY)
-    return engine.result(spec, Frequency.Daily, _JANUARY)
+    engine, days = Engine(spark, fresh_folder(spark, "store")), _days(_hours(spark, root))
+    engine.run([spec], Frequency.Daily, days)
+    return _day_of(engine.result(spec, Frequency.Daily, days))
+
+
+@registered(lattice_sql(_LOG, ("event_type",), sums("value"), subsets(("event_type",))))
+def glob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input path with wildcards, for a month of directories at once."""
+    spec = InputSpec((f"{_log(spark, sf_dir)}/d=%Y-*/h=[0-9]*",), "parquet")
+    paths = resolve(spark, spec, _JANUARY, Frequency.Monthly.end(_JANUARY))
+    return cube(read(spark, spec, paths).withColumn("value", cents("value")), ["event_type"], [VALUE])
+
+
+@registered("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(COUNT(DISTINCT hour(ts)) AS BIGINT) AS hours, CAST(COUNT(DISTINCT hour(ts)) = 24 AS INTEGER) AS complete FROM events GROUP BY 1")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's hours that are there, and whether the check ``all`` lets the day pass."""
+    root = _log(spark, sf_dir)
+    spec, rows = InputSpec((f"{root}/d=%Y-%M-%D/h=%H",), "parquet"), []
+    for day in _days(_hours(spark, root)):
+        end = Frequency.Daily.end(day)
+        try:
+            resolve(spark, spec, day, end)
+            complete = 1
+        except MissingInput:
+            complete = 0
+        rows.append((f"{day:%Y-%m-%d}", len(resolve(spark, spec, day, end, check="part")), complete))
+    return spark.createDataFrame(rows, "day string, hours long, complete int")
+
+
+@registered(lattice_sql("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS hour FROM events", ("day", "hour"), "CAST(COUNT(*) AS BIGINT) AS records", subsets(("day", "hour"))))
+def file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day and hour of each record from the path of its file."""
+    root = _log(spark, sf_dir)
+    paths = resolve(spark, InputSpec((f"{root}/d=*/h=*",)), _JANUARY, _JANUARY)
+    df = with_file(read(spark, InputSpec(tuple(paths), "parquet"), paths)).where(F.col("file_name").like("part-%.parquet"))
+    part = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1).alias({"d": "day", "h": "hour"}[name])
+    return cube(df.select(part("d"), part("h")), ["day", "hour"], [Target("records", "SUM", value="1")])
 
 
 @registered(lattice_sql("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, user_id, " + cents_sql("value") + " AS value FROM events", ("period", "event_type"), "CAST(SUM(value) AS BIGINT) AS value, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users", subsets(("event_type",))))
@@ -665,6 +745,47 @@ def export_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects(df, [TableColumn("p_brand", "varchar(10)", nullable=False), TableColumn("p_name", "varchar(12)")])[1]
 
 
+@registered("""SELECT 'me' AS "user", 'Parts' AS modelname, 'check' AS type, '{' || CASE WHEN p_size > 40 THEN '' ELSE '"p_brand":"' || p_brand || '",' END || '"p_name":"' || p_name || '"}' AS context,
+CASE WHEN p_size > 40 THEN 'p_brand: no value' || CASE WHEN octet_length(encode(p_name)) > 12 THEN '; p_name: longer than 12 bytes' ELSE '' END ELSE 'p_name: longer than 12 bytes' END AS errorinfo, 1704067200 AS "timestamp" FROM part WHERE p_size > 40 OR octet_length(encode(p_name)) > 12""")
+def reject_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in the form of the exception table, written and read back."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    sink = JdbcSink(spark, url, driver=_DERBY)
+    sink.execute('CREATE TABLE rejected ("user" VARCHAR(64), modelname VARCHAR(128), type VARCHAR(128), context CLOB, errorinfo CLOB, "timestamp" INTEGER)')
+    sink.append(reject_rows(export_rejects(spark, sf_dir), "me", "Parts", _JANUARY), "rejected")
+    return sink.select('SELECT "user", modelname AS "modelname", type AS "type", context AS "context", errorinfo AS "errorinfo", "timestamp" FROM rejected')
+
+
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+@registered(lattice_sql(f"SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS period, event_type, {cents_sql('value')} AS value FROM events", ("period", "event_type"), sums("value") + ", CAST(COUNT(*) AS BIGINT) AS events", subsets(("event_type",))))
+def export_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour exported into one table, a day's hours a write and several writes at once, and again; the table read back.
+
+    The database is an embedded one, in the memory of a local session.
+    """
+    sink = JdbcSink(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", driver=_DERBY)
+    sink.execute('CREATE TABLE EventsHourly (event_type VARCHAR(20), value BIGINT, events BIGINT, "TIMESTAMP" BIGINT)')
+    root = _log(spark, sf_dir)
+    spec = _log_spec("Events", root, ["event_type"], [VALUE, Target("events", "SUM", value="1")], Frequency.Hourly)
+    engine, hours = Engine(spark, fresh_folder(spark, "store")), _hours(spark, root)
+    engine.run([spec], Frequency.Hourly, hours)
+    name = spec.table_name(Frequency.Hourly)
+    columns = [c.name for c in sink.columns(name)]
+
+    def write(day: datetime) -> None:
+        own = [h for h in hours if h.date() == day.date()]
+        rows = engine.result(spec, Frequency.Hourly, own)
+        shown = project(rows, columns, period_time(), {c.upper(): c for c in rows.columns})
+        sink.replace_periods(shown, name, "TIMESTAMP", [str(int(h.replace(tzinfo=timezone.utc).timestamp())) for h in own])
+
+    with ThreadPoolExecutor(4) as pool:
+        for _ in range(2):
+            list(pool.map(write, _days(hours)))
+    return sink.select('SELECT "TIMESTAMP" AS "period", event_type AS "event_type", value AS "value", events AS "events" FROM EventsHourly')
+
+
 @registered(f"SELECT * FROM ({_EXPORT}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, day) <= 3")
 def export_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest rows of each group (the output's Top filter)."""

@@ -11,9 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own for a local
+    session, and an error on a cluster, whose executors don't share the driver's disk."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = _own.get(sc.applicationId) or tempfile.mkdtemp(prefix="latticework-")
         _own[sc.applicationId] = found

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import threading
+import uuid
+from collections import defaultdict
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -41,14 +45,16 @@ def parse_aliases(lines: Sequence[str]) -> dict[str, dict[str, str]]:
     return out
 
 
-def timestamp_value(start: datetime, kind: str = "epoch") -> Column:
-    """The period start as epoch seconds, or ``yyyy-MM-dd HH:mm:ss`` for ``Date``."""
+def timestamp_value(start: datetime | Column, kind: str = "epoch") -> Column:
+    """The period start as epoch seconds, or ``yyyy-MM-dd HH:mm:ss`` for ``Date``; a column tells each row's own start."""
+    if isinstance(start, Column):
+        return F.date_format(start, "yyyy-MM-dd HH:mm:ss") if kind == "Date" else F.unix_timestamp(start)
     if kind == "Date":
         return F.lit(start.strftime("%Y-%m-%d %H:%M:%S"))
     return F.lit(int(start.replace(tzinfo=timezone.utc).timestamp()))
 
 
-def project(df: DataFrame, columns: Sequence[str], start: datetime, aliases: Mapping[str, str] | None = None, missing: str = "0", timestamp: str = "epoch", upper: bool = False) -> DataFrame:
+def project(df: DataFrame, columns: Sequence[str], start: datetime | Column, aliases: Mapping[str, str] | None = None, missing: str = "0", timestamp: str = "epoch", upper: bool = False) -> DataFrame:
     """The table's columns from the report's: by alias, else by name (in any case for ``upper``); the
     column ``timestamp`` is the period start; what the report lacks or has no value for is ``missing``."""
     aliases = aliases or {}
@@ -125,9 +131,15 @@ class StrictInsertError(RuntimeError):
     """Rows were rejected while strict insertion was asked for."""
 
 
+_changing: defaultdict[tuple[str, str], threading.Lock] = defaultdict(threading.Lock)
+
+
 class JdbcSink:
     """Replaces a period in a table: staged rows, then delete and insert in one transaction.
 
+    Each write has a stage of its own, made like the table and dropped at its end, so
+    writes of several periods into one table run at once; only what changes the table
+    itself, or makes and drops stages, is done one at a time for each database and table.
     The options are those of Spark's JDBC source (url, driver, user, password);
     they are never logged.
     """
@@ -176,19 +188,41 @@ class JdbcSink:
     def append(self, df: DataFrame, table: str, batch: int = 10_000) -> None:
         df.write.format("jdbc").options(url=self.url, dbtable=table, batchsize=str(batch), **self.options).mode("append").save()
 
+    def _alone(self, table: str) -> threading.Lock:
+        return _changing[self.url, table.lower()]
+
+    def _create_like(self, table: str, stage: str) -> str:
+        kind = self.url.split(":")[1].lower()
+        if kind in ("mysql", "mariadb"):
+            return f"CREATE TABLE {stage} LIKE {table}"
+        return f"CREATE TABLE {stage} AS SELECT * FROM {table} " + ("WITH NO DATA" if kind == "derby" else "WHERE 1 = 0")
+
+    @contextmanager
+    def staged(self, df: DataFrame, table: str, batch: int = 10_000) -> Iterator[str]:
+        """The name of a table that holds the rows until the end of the block."""
+        stage = f"{table}_stage_{uuid.uuid4().hex[:12]}"
+        with self._alone(table):
+            self.execute(self._create_like(table, stage))
+        try:
+            self.append(df, stage, batch)
+            yield stage
+        finally:
+            with self._alone(table):
+                self.execute(f"DROP TABLE {stage}")
+
     def replace_period(self, df: DataFrame, table: str, timestamp_column: str, value: str, batch: int = 10_000) -> None:
-        """Writes the rows to ``<table>_stage``, then swaps the period in one transaction: a failed write leaves the old rows."""
-        stage, names = f"{table}_stage", ", ".join(df.columns)
-        self.execute(f"DELETE FROM {stage}")
-        self.append(df, stage, batch)
-        self.execute(f"DELETE FROM {table} WHERE {timestamp_column} = {value}", f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}", f"DELETE FROM {stage}")
+        self.replace_periods(df, table, timestamp_column, [value], batch)
+
+    def replace_periods(self, df: DataFrame, table: str, timestamp_column: str, values: Sequence[str], batch: int = 10_000) -> None:
+        """Swaps the rows of these periods in one transaction, once all are staged: a failed write leaves the old rows."""
+        names = ", ".join(df.columns)
+        with self.staged(df, table, batch) as stage, self._alone(table):
+            self.execute(f"DELETE FROM {table} WHERE {timestamp_column} IN ({', '.join(values)})", f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}")
 
     def upsert(self, df: DataFrame, table: str, keys: Sequence[str], dialect: str = "merge", batch: int = 10_000) -> None:
         """Writes rows by key without deleting any: staged, then merged in one statement."""
-        stage = f"{table}_stage"
-        self.execute(f"DELETE FROM {stage}")
-        self.append(df, stage, batch)
-        self.execute(upsert_statement(table, stage, df.columns, keys, dialect), f"DELETE FROM {stage}")
+        with self.staged(df, table, batch) as stage, self._alone(table):
+            self.execute(upsert_statement(table, stage, df.columns, keys, dialect))
 
     def select(self, sql: str) -> DataFrame:
         """The rows of a statement."""

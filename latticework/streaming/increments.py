@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from latticework.operators.cube import States, merged, report_states
-from latticework.operators.metrics import metric
 from latticework.plans.frequency import Frequency
 from latticework.plans.spec import ReportSpec
 
@@ -35,15 +34,11 @@ def start_stream(records: DataFrame, spec: ReportSpec, ts: Column, root: str, ch
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = (prepare(df) if prepare else df).withColumn("period_start", period_start(ts, spec.min_freq))
         states = report_states(rows, spec, extra=["period_start"])
-        for name, part in states.keyed.items():
-            part.write.mode("overwrite").parquet(f"{root}/keyed-{name}/batch={batch_id}")
-        states.flat.write.mode("overwrite").parquet(f"{root}/flat/batch={batch_id}")
+        states.rows.write.mode("overwrite").parquet(f"{root}/states/batch={batch_id}")
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_stream_states(spark: SparkSession, spec: ReportSpec, root: str) -> States:
     """The states of all periods seen so far."""
-    load = lambda name: spark.read.parquet(f"{root}/{name}").drop("batch")
-    keyed = {t.name: load(f"keyed-{t.name}") for t in spec.targets if metric(t).keyed}
-    return merged(States(spec.dims, spec.targets, load("flat"), keyed), ["period_start"])
+    return merged(States(spec.dims, spec.targets, spark.read.parquet(f"{root}/states").drop("batch")), ["period_start"])

@@ -107,7 +107,7 @@ def test_chunks_merge_to_the_whole(spark, data):
     parts = [cube_states(projected(spark.createDataFrame(data[i::3], SCHEMA), dims, TARGETS), dims, TARGETS) for i in range(3)]
     whole = parts[0]
     for p in parts[1:]:
-        whole = States(dims, whole.targets, whole.flat.unionByName(p.flat), {n: k.unionByName(p.keyed[n]) for n, k in whole.keyed.items()})
+        whole = States(dims, whole.targets, whole.rows.unionByName(p.rows))
     assert shown(finalize(merged(whole))) == brute(data)
 
 
@@ -132,3 +132,13 @@ def test_one_shuffle_each_for_base_and_cube(spark):
     df = spark.createDataFrame(rows(20), SCHEMA)
     plan = cube(df, ["a", "b", "c"], [Target("s", "SUM", value="n")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan and "Window" not in plan
+
+
+def test_all_metrics_in_one_scan(spark, sf):
+    from latticework import queries
+
+    for query, shuffles in ((queries.uv_bitmap_many, 3), (queries.flagship, 3), (queries.uv_hll_bound, 3), (queries.QUERIES["rollup_hour_day"], 5)):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == shuffles and "Join" not in plan and "Python" not in plan
+    top = queries.metric_valuedist_top(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert top.count("FileScan") == 1 and top.count("WindowGroupLimit") == 2  # before the shuffle and after it

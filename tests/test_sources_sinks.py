@@ -1,19 +1,22 @@
 from __future__ import annotations
 
 import os
-from datetime import datetime
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from latticework import cli
-from latticework.engine import Engine, RunError
+from latticework.engine import Engine, RunError, columns_read
 from latticework.functions import accessors as A
 from latticework.plans.frequency import Frequency
 from latticework.plans.spec import ConfigSource, Dimension, InputSpec, OutputSpec, ReportSpec, SpecError, Target, TopFilter
 from latticework.functions.rows import RowError, checked, emit_rows
+from latticework.operators.cube import States
 from latticework.plans.schedule import Work
 from latticework.sinks.export import JdbcSink, StrictInsertError, TableColumn, UnsupportedSink, export, parse_aliases, project, reject_rows, rejects, top_rows, truncate_bytes, upsert_statement
+from latticework.sinks.store import StateStore
 from latticework.sources.lists import load_lists
 from latticework.sources.paths import MissingInput, expand, resolve, strictest
 from latticework.sources.readers import UnsupportedSource, read, read_avro, with_file
@@ -75,6 +78,8 @@ def test_accessors(spark):
         A.get_string("e", "z").alias("j"), A.get_string(F.lit(""), "z", True).alias("k"), A.element("l", 0).alias("l"), A.element("l", 5).alias("m"), A.get_map("m", "k").alias("o"), A.is_empty("e").alias("p"), A.is_empty("blank").alias("q"), A.is_empty("em").alias("r"), A.is_empty("s").alias("s"), A.get_float("n").alias("t"), A.get_int("e", 3).alias("u"),
     ).first()
     assert tuple(r) == (12, 1, 9, -1, 12.0, 0.5, True, False, True, "z", "z", 7, None, "v", True, True, True, False, 12.0, 3)
+    flags = df.select(*(A.get_boolean(F.lit(v)).alias(f"c{i}") for i, v in enumerate((1.0, 1, 0, 2.5, "1", "yes", "TRUE")))).first()
+    assert tuple(flags) == (True, True, False, False, True, False, True)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         df.select(A.get_long("s")).collect()
 
@@ -112,7 +117,7 @@ def test_day_from_hours_equals_day_from_the_log(spark, log, tmp_path):
     assert len(engine.run([hourly], Frequency.Daily, DAY, force=True)) == 1
     assert engine.store.describe(hourly, Frequency.Daily, DAY)["present"] == 24
     periods = engine.store.read(hourly, Frequency.Hourly, Frequency.Daily.children(DAY)[:3], with_period=True)
-    assert periods.extra == ["period_start"] and periods.flat.select("period_start").distinct().count() == 3
+    assert periods.extra == ["period_start"] and periods.rows.select("period_start").distinct().count() == 3
 
 
 def test_failures_hold_up_only_what_needs_them(spark, log, tmp_path):
@@ -164,8 +169,7 @@ def test_projection_and_rejects(spark):
 def test_jdbc_period_is_replaced_in_one_transaction(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     sink = JdbcSink(spark, url, driver=driver)
-    for name in ("REPORT", "REPORT_STAGE"):
-        sink.execute(f'CREATE TABLE {name} (area VARCHAR(20), times BIGINT, ts BIGINT)')
+    sink.execute("CREATE TABLE REPORT (area VARCHAR(20), times BIGINT, ts BIGINT)")
     assert [c.name for c in sink.columns("REPORT")] == ["AREA", "TIMES", "TS"] and sink.columns("REPORT")[0].max_bytes == 20
     frame = lambda rows: spark.createDataFrame(rows, "AREA string, TIMES long, TS long")
     sink.replace_period(frame([("a", 1, 10), ("b", 2, 10)]), "REPORT", "TS", "10")
@@ -177,11 +181,74 @@ def test_jdbc_period_is_replaced_in_one_transaction(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a", 5, 20), ("a", 7, 10)]
 
 
+def test_periods_written_at_once_lose_no_row(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    sink = JdbcSink(spark, url, driver=driver)
+    sink.execute("CREATE TABLE REPORT (area VARCHAR(20), times BIGINT, ts BIGINT)")
+    frame = lambda hour, n: spark.range(n).selectExpr("concat('a', id) as AREA", "id as TIMES", f"{hour} as TS")
+    with ThreadPoolExecutor(4) as pool:
+        for attempt in range(2):  # the second replaces the first
+            for f in [pool.submit(sink.replace_period, frame(h, 50 + h + attempt), "REPORT", "TS", str(h)) for h in range(24)]:
+                f.result()
+    got = {(r["TS"], r["n"]) for r in sink.select("SELECT TS, COUNT(*) AS \"n\" FROM REPORT GROUP BY TS").collect()}
+    assert got == {(h, 51 + h) for h in range(24)}
+    assert sink.select("SELECT COUNT(*) AS N FROM SYS.SYSTABLES WHERE LOWER(TABLENAME) LIKE '%stage%'").first()["N"] == 0
+
+
+def test_a_failed_publication_leaves_the_old_period(spark, tmp_path):
+    spec = ReportSpec("r", (Dimension("d"),), (Target("t", "SUM"),))
+    store = StateStore(spark, str(tmp_path / "store"))
+    states = lambda t: States(["d"], spec.targets, spark.createDataFrame([("a", 1, t, "2024-01-01T00-00")], "d string, _rows long, t long, period_start string"))
+    for t in (1, 2, 3):
+        store.write(spec, Frequency.Daily, [DAY], states(t))
+    read = store.read(spec, Frequency.Daily, [DAY]).rows
+    broken = states(4)
+    broken.rows = broken.rows.withColumn("t", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        store.write(spec, Frequency.Daily, [DAY], broken)
+    assert [r["t"] for r in store.read(spec, Frequency.Daily, [DAY]).rows.collect()] == [3]
+    store.write(spec, Frequency.Daily, [DAY], states(5))
+    assert [r["t"] for r in read.collect()] == [3]  # who read the version before still can
+    assert [r["t"] for r in store.read(spec, Frequency.Daily, [DAY]).rows.collect()] == [5]
+    place = tmp_path / "store" / "report=r" / "freq=Daily"
+    assert len(list((place / "data").iterdir())) == 4
+    store.keep = timedelta(seconds=-9)
+    store.write(spec, Frequency.Daily, [DAY], states(6))
+    assert len(list((place / "data").iterdir())) == 2 and [p.name.split("~")[:2] for p in (place / "published").iterdir() if p.name.count("~") == 2 and not p.name.startswith(".")] == [["2024-01-01T00-00", "5"]]
+
+
+def test_reports_on_one_scan_hold_only_what_they_read(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", "b", 1, "z" * 9), ("a", "c", 2, "y")], "x string, y string, n long, unused string")
+    df.write.parquet(str(tmp_path / "in"))
+    specs = [ReportSpec(d, (Dimension(d),), (Target("n", "SUM"),), InputSpec((str(tmp_path / "in"),), "parquet"), transform=lambda df, _: df.withColumn("more", F.upper("unused"))) for d in ("x", "y")]
+    held = []
+    monkeypatch.setattr(type(df), "persist", lambda self, level: held.append(self) or self)
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.run(specs, Frequency.Daily, DAY)
+    assert len(held) == 1 and columns_read(held[0]) == {"x", "y", "n"}
+    assert sorted(map(tuple, engine.result(specs[1], Frequency.Daily, DAY).collect())) == [("ALL", 3), ("b", 1), ("c", 2)]
+
+
+def test_a_bad_period_fails_alone(spark, tmp_path):
+    for h in range(4):
+        folder = tmp_path / "log" / f"{h:02}"
+        folder.mkdir(parents=True)
+        (folder / "part").write_text("a\t1\n" if h != 2 else "a\tx\n")
+    spec = ReportSpec("r", (Dimension("d"),), (Target("t", "SUM"),), InputSpec((f"{tmp_path}/log/%H",)), min_freq=Frequency.Hourly, transform=lambda df, _: df.select(A.split_line()[0].alias("d"), A.get_long(A.split_line()[1]).alias("t")))
+    engine = Engine(spark, str(tmp_path / "store"))
+    hours = Frequency.Daily.children(DAY)[:4]
+    with pytest.raises(RunError) as e:
+        engine.run([spec], Frequency.Hourly, hours)
+    assert list(e.value.failures) == ["r Hourly 2024-01-01T02:00Z"]
+    assert engine.store.present(spec, Frequency.Hourly, hours) == [hours[0], hours[1], hours[3]]
+    got = engine.result(spec, Frequency.Hourly, [hours[0], hours[3]])
+    assert sorted(map(tuple, got.collect())) == [(p, d, 1) for p in ("2024-01-01T00-00", "2024-01-01T03-00") for d in ("ALL", "a")]
+
+
 def test_rows_by_key_and_single_statements(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     sink = JdbcSink(spark, url, driver=driver)
-    for name in ("T", "T_stage"):
-        sink.execute(f"CREATE TABLE {name} (K VARCHAR(9) NOT NULL, V BIGINT)")
+    sink.execute("CREATE TABLE T (K VARCHAR(9) NOT NULL, V BIGINT)")
     assert sink.insert_row("T", {"K": "a", "V": 1}) == 1 and sink.insert_row("T", {"K": "b'; DROP", "V": 2}) == 1
     sink.upsert(spark.createDataFrame([("a", 7), ("c", 3)], "K string, V long"), "T", ["K"])
     assert sink.update_rows("T", {"V": 9}, {"K": "c"}) == 1 and sink.delete_rows("T", {"K": "b'; DROP"}) == 1
@@ -208,8 +275,7 @@ def test_row_transforms(spark):
 def test_outputs_by_key_and_without_sink(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     sink = JdbcSink(spark, url, driver=driver)
-    for name in ("rDaily", "rDaily_stage"):
-        sink.execute(f'CREATE TABLE {name} (D VARCHAR(9) NOT NULL, T VARCHAR(9), "TIMESTAMP" VARCHAR(20) NOT NULL)')
+    sink.execute('CREATE TABLE rDaily (D VARCHAR(9) NOT NULL, T VARCHAR(9), "TIMESTAMP" VARCHAR(20) NOT NULL)')
     rows = spark.createDataFrame([("a", 1), ("b", None)], "d string, t long")
     write = cli.exporter(spark, {}, url, {"driver": driver}, False, "epoch", "me", None)
     spec = ReportSpec("r", (Dimension("d"),), (Target("t", "SUM"),), output=OutputSpec("phoenix"))
@@ -232,8 +298,7 @@ def test_command_line(spark, log, tmp_path, capsys):
     assert "done Clicks Daily" in capsys.readouterr().out
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     sink = JdbcSink(spark, url, driver=driver)
-    for name in ("ClicksDaily", "ClicksDaily_stage"):
-        sink.execute(f"CREATE TABLE {name} (area VARCHAR(20), times BIGINT, \"TIMESTAMP\" BIGINT)")
+    sink.execute('CREATE TABLE ClicksDaily (area VARCHAR(20), times BIGINT, "TIMESTAMP" BIGINT)')
     assert cli.main(["export", str(folder), *common, "--jdbc-url", url, "--jdbc-driver", driver]) == 0
     got = spark.read.format("jdbc").options(url=url, driver=driver, dbtable="ClicksDaily").load()
     assert sorted((r["AREA"], r["TIMES"]) for r in got.collect()) == [("ALL", 720), ("a", 360), ("b", 360)]
@@ -255,4 +320,4 @@ def test_stream_batches_run_again_replace_themselves(spark, tmp_path):
     assert got[1, "ALL"] == sum(i for i in range(60) if i % 2 == 0) and got[2, "b"] == sum(i for i in range(60) if i % 2)
     with pytest.raises(ValueError):
         period_start(F.col("ts"), Frequency.Thirtydays)
-    assert os.path.isdir(f"{root}/flat")
+    assert os.path.isdir(f"{root}/states")
