@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, shuffle_partitions, with_place
+from latticework.llm.common import Scratch, picked, shuffle_partitions, with_place
 from latticework.llm.packing import encoder, vocabulary
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -147,7 +147,8 @@ def chat_windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     spark = turns.sparkSession
     scratch = Scratch(spark, "chat")
     empty = F.lit("")
-    own = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
+    own = picked(turns, conv_id=(conv_id, "long"), turn=(turn, "long"), role=(role, "string"), text=(text, "string"))
+    own = own.withColumns({c: F.coalesce(c, empty) for c in ("role", "text")})
     # ranges of the order, not conversations, are dealt out: a long one lies in many tasks
     placed = with_place(own, scratch, [F.col(c) for c in ("conv_id", "turn", "role", "text")])
     starts = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("place").alias("_first"), F.max("place").alias("_end"))

@@ -50,9 +50,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def column_of(frame: DataFrame, name: str) -> Column:
-    """A column by its exact name, also where another differs only in case or a dot is in it."""
-    return F.col(f"`{name.replace('`', '``')}`")
+def numbered(frame: DataFrame) -> DataFrame:
+    """``frame`` with its columns called c0, c1, ...: whatever they are called, also alike or alike but for case, none clashes
+    with another or with one that an operator adds.  ``toDF(*frame.columns)`` gives the names back."""
+    return frame.toDF(*(f"c{i}" for i in range(len(frame.columns))))
+
+
+def number_of(frame: DataFrame, name: str) -> str:
+    """What ``numbered`` calls the column of this exact name; failing that, the one that differs in case alone."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        if hits := [i for i, c in enumerate(frame.columns) if same(c)]:
+            return f"c{hits[0]}"
+    raise ValueError(f"no column {name!r} among {frame.columns}")
+
+
+def picked(frame: DataFrame, **wanted: tuple[str, str | None]) -> DataFrame:
+    """The columns ``new name = (name, type or None to keep it)`` of a frame, and no others."""
+    columns = [F.col(number_of(frame, name)) for name, _ in wanted.values()]
+    return numbered(frame).select(*((c.cast(kind) if kind else c).alias(new) for c, (new, (_, kind)) in zip(columns, wanted.items(), strict=True)))
 
 
 def raw_texts(column: pa.Array) -> list[bytes | None]:

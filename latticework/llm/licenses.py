@@ -20,9 +20,8 @@ from functools import cache
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from latticework.llm.common import raw_texts, slices
+from latticework.llm.common import picked, raw_texts, slices
 
 # License identifiers and the wordings in which texts declare them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -238,4 +237,4 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Null, empty and undeclared texts have no rows; rows with equal or null doc_ids
     are scanned each; equal texts have equal declarations.  Other columns are ignored.
     """
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_run, _SCHEMA)
+    return picked(docs, doc_id=(doc_id, "long"), text=(text, "string")).mapInArrow(_run, _SCHEMA)

@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from latticework.llm.common import raw_texts, slices
+from latticework.llm.common import picked, raw_texts, slices
 
 UNIT, RATE = 64, 16_000
 FRAME, HOP, FAN, REACH = 512, 256, 2, 63
@@ -126,5 +125,5 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     bytes; a null doc_id stays null; equal texts have equal values.  A payload
     that is constant has no peaks and an empty array.  Other columns are ignored.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = picked(docs, doc_id=(doc_id, "long"), text=(text, "string"))
     return own.mapInArrow(_run(with_media), _SCHEMA + (", media binary, fingerprints array<long>" if with_media else ""))

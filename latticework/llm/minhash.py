@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, connected_components, raw_texts, shuffle_partitions, slices
+from latticework.llm.common import Scratch, connected_components, number_of, numbered, picked, raw_texts, shuffle_partitions, slices
 from latticework.llm.shingles import mix, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = picked(docs, doc_id=(doc_id, "long"), text=(text, "string"))
     base = scratch.table(own.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sketch binary, threes array<long>"))
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.table(full.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
@@ -273,20 +273,22 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     a doc_id, each of its different texts is a document of its own, so one goes only
     if it is linked with another that stays, of two with one doc_id the larger text;
     of rows with one doc_id and text, also a null one, the one with the smallest other
-    columns stays.  Rows with a null doc_id all do.
+    columns, written as JSON, stays.  Rows with a null doc_id all do.  Columns may have any names.
     """
-    key = F.col(doc_id).cast("long")
-    repeated = docs.where(key.isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
+    plain, key, words = numbered(docs), F.col(number_of(docs, doc_id)).cast("long"), F.col(number_of(docs, text)).cast("string")
+    repeated = plain.where(key.isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
     if not repeated:
         found = near_duplicates(docs, doc_id, text)
-        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, key == F.col("_gone"), "left_anti")
-    others = [c for c in docs.columns if c != text]
-    rows = docs.where(key.isNotNull()).groupBy(key.alias("_key"), F.col(text).alias("_text")).agg(F.min(F.struct(*others)).alias("_row"))
-    # written, so that each keeps its id
-    rows = Scratch(docs.sparkSession, "repeated-documents").table(rows.withColumn("_id", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, "_id", "_text").select(F.col("doc_id").alias("_id"), "component_id")
-    first = found.join(rows.drop("_row"), "_id").groupBy("component_id").agg(F.min(F.struct("_key", "_text", "_id")).alias("_first"))
-    out = rows.join(first.select("_first._id"), "_id")
-    out = out.select(*(F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))
-    return out.union(docs.where(key.isNull()))
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+        return plain.join(gone, key == F.col("gone"), "left_anti").toDF(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "repeated-documents")
+    # written, so that each row keeps its number
+    rows = scratch.table(plain.where(key.isNotNull()).withColumns({"key": key, "words": words, "row": F.monotonically_increasing_id()}))
+    # any column can be written as text, also one that has no order
+    others = F.to_json(F.struct(*(c for c in plain.columns if c != number_of(docs, text))))
+    each = rows.groupBy("key", "words").agg(F.min(F.struct(others.alias("others"), "row"))["row"].alias("id"))
+    each = scratch.table(each)
+    found = near_duplicates(each, "id", "words").select(F.col("doc_id").alias("id"), "component_id")
+    first = found.join(each, "id").groupBy("component_id").agg(F.min(F.struct("key", "words", "id"))["id"].alias("kept"))
+    out = rows.join(first.select("kept"), F.col("row") == F.col("kept"), "left_semi").select(*plain.columns)
+    return out.unionByName(plain.where(key.isNull())).toDF(*docs.columns)

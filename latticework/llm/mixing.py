@@ -10,22 +10,18 @@ nearest its target, so also a source with few, uneven documents is near it.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
 
-from latticework.llm.common import Scratch, raw_texts, with_place
+from latticework.llm.common import Scratch, number_of, numbered, picked, with_place
 
 WEIGHTS = (5, 2, 1)
 MOST, SEEDS = 3, 32
 
 
-@arrow_udf(LongType())
-def word_count(texts: pa.Array) -> pa.Array:
-    """The number of ``[^\\x20\\x09-\\x0D]+`` in each text; null counts as empty."""
-    return pa.array([len(raw.split()) if raw else 0 for raw in raw_texts(texts)], pa.int64())
+def word_count(text: Column) -> Column:
+    """The number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts as empty."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def draw(seed: int, key: Column) -> Column:
@@ -76,18 +72,23 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     targets are 0.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+    own = picked(docs, doc_id=(doc_id, "long"), source=(source, "string"), text=(text, "string"))
+    sized = scratch.table(own.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     plan = mixing_plan(sized, scratch)
     out = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).withColumn("copies", _copies())
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and any others), each as many times as its source's rate says."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whatever their names, each as many times as its source's rate says.
+
+    Nulls, repeated rows and empty tables go as in ``mix_report``.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    plan = mixing_plan(scratch.table(sized), scratch).select(F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in ("times", "part", "seed")))
-    copies = F.col("_times") + F.when(draw(F.col("_seed"), F.col("doc_id").cast("long")) < F.col("_part"), 1).otherwise(0)
-    out = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return out.select(*(out[c] for c in docs.columns))
+    key, said, words = (F.col(number_of(docs, c)) for c in (doc_id, source, text))
+    plain, key, said = numbered(docs), key.cast("long"), said.cast("string")
+    plan = mixing_plan(scratch.table(plain.select(key.alias("doc_id"), said.alias("source"), word_count(words.cast("string")).alias("size"))), scratch)
+    copies = F.col("times") + F.when(draw(F.col("seed"), key) < F.col("part"), 1).otherwise(0)
+    out = plain.join(plan.select("source", "times", "part", "seed"), said.eqNullSafe(F.col("source")))
+    out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, shuffle_partitions
+from latticework.llm.common import Scratch, picked, shuffle_partitions
 
 QUERY_BLOCK, BLOCK, NEAREST, QUERY_STEP = 1024, 4096, 10, 100
 _EXACT_COLUMNS = 1024  # 127 * 127 * 1024 < 2**24: a float32 product of int8 tiles this wide is exact
@@ -124,9 +124,10 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    x = F.col(vector)
+    given = picked(vectors, vec_id=(vec_id, "long"), vector=(vector, None))
+    x = F.col("vector")
     good = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    sound = vectors.where(F.coalesce(good, F.lit(False)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), x.cast("array<double>").alias("vector"))
+    sound = given.where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull()).select("vec_id", x.cast("array<double>").alias("vector"))
     # a block of a few thousand vectors a row: the tables below have few, large rows
     candidates = scratch.table(sound.mapInArrow(_blocks(BLOCK), _BLOCK_SCHEMA))
     asked = sound.where(F.pmod("vec_id", F.lit(step)) == 0)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import raw_texts, slices
+from latticework.llm.common import number_of, numbered, picked, raw_texts, slices
 
 WIDTH, FILTERS, EMBED, HIDDEN = 8, 16, 8, 16
 SEGMENT = 128  # a chunk is two neighbouring segments
@@ -209,13 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network
     where there are so many; their whole texts are used.  Rows without a label
     or with two different ones aren't used.
     """
+    labels = picked(labels, doc_id=("doc_id", "long"), quality=("quality", "int"))
     known = labels.where(~held_out()).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked: list = []
+    found = picked(docs, doc_id=("doc_id", "long"), text=("text", "string"))
+    chosen: list = []
     for label in (0, 1):
-        picked += known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2).select("doc_id", "quality").collect()  # at most rows
-    by_id = {r["doc_id"]: r["quality"] for r in picked}
+        chosen += known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2).select("doc_id", "quality").collect()  # at most rows
+    by_id = {r["doc_id"]: r["quality"] for r in chosen}
     if not by_id:
         return None
     texts = found.where(F.col("doc_id").isin(list(by_id))).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
@@ -238,20 +239,21 @@ def score_texts(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", te
             found = scores(shared.value, raws, pairs) if pairs is not None else np.full(len(raws), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = picked(docs, doc_id=(doc_id, "long"), text=(text, "string"))
     out = own.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is at least 0.5, with all their columns."""
+    """The rows of ``docs`` whose score is at least 0.5, with all their columns, whatever their names."""
+    plain, at = numbered(docs), number_of(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = shared.value.pair_tables() if shared.value is not None else None
-        for batch in slices(batches, text, most_bytes=1 << 16):
+        for batch in slices(batches, at, most_bytes=1 << 16):
             if pairs is not None:
-                batch = batch.filter(pa.array(scores(shared.value, [r or b"" for r in raw_texts(batch.column(text))], pairs) >= 0.5))
+                batch = batch.filter(pa.array(scores(shared.value, [r or b"" for r in raw_texts(batch.column(at))], pairs) >= 0.5))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -20,6 +20,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.llm.common import picked
+
 SHARDS, VIRTUAL, SLICE_BITS = 16, 128, 15
 SLICES = 1 << SLICE_BITS
 
@@ -90,7 +92,7 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     an empty one; rows with equal or null doc_ids are keys in one slice, which the
     bounds split over shards like any other.  Other columns are ignored.
     """
-    words = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(words) + 1).cast("long").alias("size"), F.crc32(words.cast("binary")).alias("text_crc32"))
+    words = F.coalesce(F.col("text"), F.lit(""))
+    rows = picked(docs, doc_id=(doc_id, "long"), text=(text, "string")).select("doc_id", (F.octet_length(words) + 1).cast("long").alias("size"), F.crc32(words.cast("binary")).alias("text_crc32"))
     out = assign(rows, "doc_id", ["doc_id", "text_crc32", "size"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, score double"
 
@@ -28,11 +29,20 @@ def edge_rows() -> list[tuple]:
     return rows
 
 
+# names alike but for case, and names that operators use inside
+MORE = "TEXT Doc_ID SOURCE Source _source _times _part _seed _copy _gone _first _key _text _row _id c0 c1 key words row id kept gone copy times part seed gid found band sketch run length at".split()
+
+
+def with_more(df):
+    """The frame with many more columns: a map, which has no order, and names that clash."""
+    return df.select("*", F.create_map(F.lit("k"), F.lit(1)).alias("m"), *(F.lit(i).alias(name) for i, name in enumerate(MORE)))
+
+
 @pytest.fixture(scope="session")
 def edges(spark):
-    return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3).cache()
+    return with_more(spark.createDataFrame(edge_rows(), SCHEMA)).repartition(3).cache()
 
 
 @pytest.fixture(scope="session")
 def none(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return with_more(spark.createDataFrame([], SCHEMA))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from latticework.llm.common import picked
 from latticework.llm import minhash
 from latticework.llm.common import Scratch, connected_components
 from latticework.llm.shingles import shingle_sets
@@ -39,7 +40,7 @@ def brute(rows):
 
 
 def test_edges_match_brute_force(edges, none):
-    rows = edges.select("doc_id", "text").collect()
+    rows = picked(edges, doc_id=("doc_id", None), text=("text", None)).collect()
     want = brute([tuple(r) for r in rows])
     got = minhash.near_duplicates(edges).collect()
     assert len(got) == len(rows)
@@ -119,7 +120,7 @@ def test_dropping_keeps_one_row_of_each_component(edges):
     rows = kept.collect()
     ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
     assert len(ids) == len(set(ids))
-    want = brute([tuple(r) for r in edges.select("doc_id", "text").collect()])
+    want = brute([tuple(r) for r in picked(edges, doc_id=("doc_id", None), text=("text", None)).collect()])
     assert set(ids) == set(want.values())
     assert sum(r["doc_id"] is None for r in rows) == 2
 
