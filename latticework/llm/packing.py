@@ -5,13 +5,16 @@ documents longer than a sequence are cut: the remainder comes first, then whole
 sequences.  Pieces are packed by bounded-space online best fit: at most ``OPEN``
 bins are open; the free space of each open bin is a bit of an integer, so the
 tightest bin that holds a piece is the lowest set bit at or above its length; when
-one bin too many is open, the fullest closes.  Pieces arrive in runs of ``RUN``, the
-longest of a run first, which leaves about 0.4 % of the space free instead of 2.3 %.
+one bin too many is open, the fullest closes.  The packer sees one piece at a time.
+In which order they arrive is free: they are dealt to runs of about ``RUN`` pieces by
+hash, and each run comes with the longest first, which leaves 0.1 % of the space free
+instead of 1 %.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -22,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, raw_texts, slices
+from latticework.llm.common import Scratch, picked, raw_texts, slices
 
 SEQUENCE, END_ID, OPEN = 1024, 2, 1024
-RUN = 1024  # pieces looked at together: the longest of a run goes first
+RUN = 1024  # pieces that arrive the longest first
 PIECES_A_TASK = 100_000  # one task's open bins are a small share of so many pieces
 _SPECIAL = "<|endoftext|>"
+_BLANKS = re.compile(r"(?<!\s)\s{10000}")  # the fast encoder gives up on far longer runs of white space
 _PROBE = "The ’quick’ brown-fox's 123 jumped.\n\n  Ça и 漢字 🙂\t--x  "
 
 
@@ -43,8 +47,8 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     """A function from a text to its ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     The same vocabulary as ranks is several times faster.  It is used after a probe
-    text agreed, for texts without the special token's string; the tokenizer file
-    itself encodes the others.
+    text agreed, for texts without the special token's string and without long runs
+    of white space; the tokenizer file itself encodes the others, of any length.
     """
     from tokenizers import Tokenizer
 
@@ -59,7 +63,8 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     if fast.encode_ordinary(_PROBE) != exact(_PROBE):
         return exact
-    return lambda text: exact(text) if _SPECIAL in text else fast.encode_ordinary(text)
+    hard = lambda text: _SPECIAL in text or (len(text) >= 10_000 and _BLANKS.search(text) is not None)
+    return lambda text: exact(text) if hard(text) else fast.encode_ordinary(text)
 
 
 def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -68,18 +73,24 @@ def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, most) for s in range(first, n, most)]
 
 
+_PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
+_PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def _pieces(paths: tuple[str, str | None, str | None], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*paths)
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
                 ids = np.array([*encode((raw or b"").decode("utf-8", "replace")), END_ID], "<u4")
                 for k, (start, length) in enumerate(cuts(len(ids), most)):
-                    for column, value in zip(out, (doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
+                    for column, value in zip(out, (doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), row), strict=True):
                         column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row += 1
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [*_PIECE, "row"])
 
     return run
 
@@ -113,11 +124,6 @@ def best_fit(lengths: Iterable[int], capacity: int = SEQUENCE, open_bins: int =
                     free_bits ^= 1 << fullest
 
 
-def run_order(lengths: np.ndarray) -> np.ndarray:
-    """The order in which pieces are packed: run by run, the longest of each first."""
-    return np.lexsort((-lengths, np.arange(len(lengths)) // RUN))
-
-
 def _packed(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 40
@@ -129,13 +135,11 @@ def _packed(capacity: int):
 
         fitted = best_fit(feed(), capacity)
         for batch in batches:
-            lengths = batch.column("length").to_numpy()
-            bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-            for at in run_order(lengths):
-                waiting.append(int(lengths[at]))
+            bins, offsets = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            for at, length in enumerate(batch.column("length").to_pylist()):
+                waiting.append(length)
                 bins[at], offsets[at] = next(fitted)
-            bins += place
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECE), pa.array(bins + place), pa.array(offsets)], [*_PIECE, "sequence_id", "offset"])
 
     return run
 
@@ -145,14 +149,14 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int
 
     A null or empty text is one piece, the end id.  Rows with equal doc_ids are
     packed each on its own; a null doc_id stays null.  Texts are tokenised once;
-    only the pieces' numbers are dealt out, ``PIECES_A_TASK`` to a task, by hash
-    of document and place, so a hot key doesn't matter and a lost task is
-    packed again alike.  Other columns are ignored.
+    only the pieces' numbers are dealt out, about ``PIECES_A_TASK`` to a task, by hash
+    of the piece's row, so neither a hot key nor repeated rows matter and a lost task
+    is packed again alike.  Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = scratch.table(own.mapInArrow(_pieces(paths or vocabulary(), most), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    tasks = max(1, -(-pieces.count() // PIECES_A_TASK))
-    order = ("doc_id", "piece", "length", "ids_crc32")
-    dealt = pieces.repartition(tasks, *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_packed(most), pieces.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", sequence_id long, offset long")
+    own = picked(docs, doc_id=(doc_id, "long"), text=(text, "string"))
+    pieces = scratch.table(own.mapInArrow(_pieces(paths or vocabulary(), most), f"{_PIECE_SCHEMA}, row long"))
+    count = pieces.count()
+    runs = F.pmod(F.xxhash64("row"), F.lit(max(1, count // RUN)))
+    dealt = pieces.withColumn("run", runs).repartition(max(1, -(-count // PIECES_A_TASK)), "run").sortWithinPartitions("run", F.desc("length"), "row")
+    return dealt.mapInArrow(_packed(most), f"{_PIECE_SCHEMA}, sequence_id long, offset long")

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -73,13 +73,45 @@ def check(rows, docs):
     return len(placed)
 
 
-def test_runs_pack_tighter_than_arrival():
-    rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 1025, 20_000)
-    count = lambda x: max(b for b, _ in packing.best_fit(x.tolist())) + 1
-    order = packing.run_order(lengths)
-    assert sorted(order.tolist()) == list(range(len(lengths)))
-    assert count(lengths[order]) < count(lengths) and count(lengths[order]) <= 1.015 * lengths.sum() / 1024
+def test_many_equal_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_TASK", 1000)
+    monkeypatch.setattr(packing, "RUN", 50)
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'the same text again' as text")
+    rows = packing.pack(docs).collect()
+    tasks = Counter(r["sequence_id"] >> 40 for r in rows)
+    assert len(tasks) == 4 and max(tasks.values()) < 1600
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 4000
+
+
+def test_the_result_does_not_depend_on_batches(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = []
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append({(r["doc_id"], r["piece"]): (r["sequence_id"], r["offset"]) for r in packing.pack(docs).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\u3000", "1", "a", "!"])
+def test_runs_of_millions_have_the_tokenizers_ids(run):
+    paths = packing.vocabulary()
+    slow = Tokenizer.from_file(paths[0])
+    for text in (f"x{run * 1_000_000}a b", run * 1_000_000):
+        assert list(packing.encoder(*paths)(text)) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_ten_million_blanks(spark):
+    text = " " * 10_000_000 + "a"
+    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in rows) == len(packing.encoder(*packing.vocabulary())(text)) + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\t", "\u2003", "\x1c", "\x85", "a", "9", "é", "\U0001f642"]), st.sampled_from([1, 2, 3, 9_999, 10_000, 10_001])), max_size=5))
+def test_any_text_has_the_tokenizers_ids(parts):
+    paths, text = packing.vocabulary(), "".join(c * n for c, n in parts)
+    assert list(packing.encoder(*paths)(text)) == Tokenizer.from_file(paths[0]).encode(text, add_special_tokens=False).ids
 
 
 def test_edges(edges, none):
