@@ -4,8 +4,10 @@ The base rules find e-mail addresses, IP addresses, card and phone numbers.  The
 tagger (``tagger.py``) reads overlapping windows; each window is decoded by itself
 and the windows are reconciled over the whole document: a span must lie inside a
 window with room on both sides, of overlapping spans the one nearest its window's
-middle wins, and what overlaps a base span is left out.  A span that the tagger
-adds must hold what its kind cannot do without: an ``@`` or at least four digits.
+middle wins, and what overlaps a base span is left out.  The tagger finds forms that
+no base rule has (bare phone numbers, cards with other marks, addresses in disguise)
+and a kind of its own, secrets such as keys and tokens.  A span that it adds must have
+its kind's outer form, and with it an ``@`` or at least four digits.
 A window with neither can therefore add nothing and isn't decoded; ``every_window``
 decodes them all and finds the same.
 """
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from latticework.llm.common import raw_texts, slices
+from latticework.llm.common import number_of, numbered, picked, raw_texts, slices
 from latticework.llm.tagger import KINDS, STRIDE, WINDOW, Tagger, classes, code_points, luhn, tag_spans, trained
 
+BASE_KINDS = 4
 Span = tuple[int, int, int]  # kind, start, end in code points
 
 _SEED = re.compile(rb"[0-9@]")
@@ -71,8 +73,9 @@ def base_spans(text: str) -> list[Span]:
 _ADDED = (
     re.compile(r"[A-Za-z0-9._%+-]+ ?\[?@\]? ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+"),
     re.compile(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}"),
-    re.compile(r"[0-9]{4}([./ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19}"),
-    re.compile(r"\+?[0-9]{0,3} ?\(?[0-9]{2,4}\)?[ ./-]{1,3}[0-9]{3}[ ./-]?[0-9]{3,4}"),
+    re.compile(r"[0-9]{4}([./ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([./ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19}"),
+    re.compile(r"\+?[0-9]{0,3}[ -]?\(?[0-9]{2,4}\)?[ ./-]{1,3}[0-9]{3}[ ./-]?[0-9]{3,4}"),
+    re.compile(r"[A-Za-z0-9_-]{16,80}"),
 )
 
 
@@ -85,6 +88,8 @@ def sound(kind: int, said: str) -> bool:
         return all(_small(p.strip()) for p in said.split("."))
     if kind == 2:
         return luhn(digits)
+    if kind == 4:
+        return len(digits) >= 4 and any(c.isalpha() for c in said)
     return kind == 0 or 9 <= len(digits) <= 15
 
 
@@ -163,12 +168,12 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", e
         for batch in slices(batches, "text"):
             rows = []
             for _, base, more in _texts_and_spans(raw_texts(batch.column("text")), shared.value, every_window):
-                counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
+                counts = [sum(k == kind for k, _, _ in base) for kind in range(BASE_KINDS)]
                 rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more)))
             arrays = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], [p.split()[0] for p in _SCHEMA.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+    return picked(docs, doc_id=(doc_id, "long"), text=(text, "string")).mapInArrow(run, _SCHEMA)
 
 
 def redact_text(text: str, spans: list[Span]) -> str:
@@ -187,18 +192,19 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced; every other column and null texts stay as they are."""
+    """``docs`` with the personal data in ``text`` replaced; every other column, whatever its name, and null texts stay as they are."""
+    plain, at = numbered(docs), number_of(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(trained())  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            column = batch.column(text)
+        for batch in slices(batches, at):
+            column = batch.column(at)
             changed = {}
             for i, (said, base, more) in enumerate(_texts_and_spans(raw_texts(column), shared.value, False)):
                 if base or more:
                     changed[i] = redact_text(said, base + more)
             if changed:
                 column = pa.array([changed.get(i, v) for i, v in enumerate(column.to_pylist())], column.type)
-            yield pa.RecordBatch.from_arrays([column if n == text else batch.column(k) for k, n in enumerate(batch.schema.names)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([column if n == at else batch.column(k) for k, n in enumerate(batch.schema.names)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -1,7 +1,7 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Trained from labelled spans: texts of invented words in which personal data and
-look-alikes (dates, versions, tokens, identifiers) stand at known places.  The
+Trained from labelled spans: texts of invented words in which personal data, secrets
+and look-alikes (dates, versions, digests, identifiers) stand at known places.  The
 training set, its order and the first weights come from a seed, so every process
 trains the same network.
 """
@@ -13,22 +13,22 @@ from functools import cache
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")  # the base rules know the first four
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-WINDOW, STRIDE, HIDDEN = 128, 64, 12
-SAMPLES, EPOCHS, BATCH, RATE = 2400, 9, 96, 0.02
+WINDOW, STRIDE, HIDDEN = 128, 64, 16
+SAMPLES, EPOCHS, BATCH, RATE = 6000, 8, 96, 0.02
 _FORBIDDEN = -1e4
 
-_PUNCTUATION = "@._%+-()[]{}<>:;,/\\=\"'#!?$&*|~"
-CLASSES = 8 + len(_PUNCTUATION)
-_ASCII = np.full(128, 1, np.uint8)  # 0 pads, 1 other, 2 lower, 3 upper, 4 digit, 5 space, 6 line end, 7 beyond ASCII
-for _c in range(128):
-    _ASCII[_c] = 2 if chr(_c).islower() else 3 if chr(_c).isupper() else 4 if chr(_c).isdigit() else 5 if chr(_c) in " \t" else 6 if chr(_c) in "\r\n" else 8 + _PUNCTUATION.index(chr(_c)) if chr(_c) in _PUNCTUATION else 1
+# a class for each ASCII letter and mark, one for all digits and one for all beyond ASCII; 0 pads
+CLASSES = 130
+_ASCII = np.arange(1, 129, dtype=np.uint8)
+_ASCII[48:58] = 49
+_GROUPS = (range(97, 123), range(65, 91))  # letters begin with equal weights, by case
 
 
 def classes(points: np.ndarray) -> np.ndarray:
     """The class of each code point."""
-    return np.where(points < 128, _ASCII[np.minimum(points, 127)], 7).astype(np.uint8)
+    return np.where(points < 128, _ASCII[np.minimum(points, 127)], 129).astype(np.uint8)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -62,17 +62,18 @@ def _name(rng: random.Random) -> str:
 
 
 def _card(rng: random.Random) -> str:
-    body = rng.choice("3456") + _digits(rng, rng.choice((13, 14, 14, 14)))
+    size = rng.choice((15, 16, 16, 16))
+    body = rng.choice("3456") + _digits(rng, size - 2)
     number = next(body + d for d in "0123456789" if luhn(body + d))
-    if len(number) != 16 or rng.random() < 0.4:
-        return number
-    return rng.choice(" -./").join(number[i : i + 4] for i in range(0, 16, 4))
+    mark = rng.choice(" -./")
+    cuts = (4, 8, 12) if size == 16 else (4, 10)
+    return number if rng.random() < 0.3 else mark.join(number[i:j] for i, j in zip((0, *cuts), (*cuts, size), strict=True))
 
 
 def _email(rng: random.Random) -> str:
-    user = rng.choice((_name(rng), f"{_name(rng)}.{_name(rng)}", f"{_name(rng)}.{_digits(rng, 2)}", f"{_name(rng)}_{_digits(rng, 1)}", f"{_name(rng)}+{_name(rng)}"))
+    user = rng.choice((_name(rng), f"{_name(rng)}.{_name(rng)}", f"{_name(rng)}.{_digits(rng, 2)}", f"{_name(rng)}_{_digits(rng, 1)}", f"{_name(rng)}+{_name(rng)}", f"{_name(rng)}{_digits(rng, 2)}".capitalize()))
     host = rng.choice((_name(rng), f"mail{_digits(rng, 1)}.{_name(rng)}", f"{_name(rng)}-{_name(rng)}"))
-    return user + rng.choice(("@", "@", "@", " @ ", "[@]", " [@] ")) + host + rng.choice((".com", ".org", ".co.uk", ".de", " . com"))
+    return user + rng.choice(("@", "@", "@", " @ ", "[@]", " [@] ")) + host + rng.choice((".com", ".org", ".co.uk", ".de", ".net", " . com"))
 
 
 def _ip(rng: random.Random) -> str:
@@ -80,8 +81,17 @@ def _ip(rng: random.Random) -> str:
 
 
 def _phone(rng: random.Random) -> str:
-    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    return rng.choice((f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"+{rng.randint(1, 99)}-{a}-{b}-{c}", f"0{_digits(rng, 3)} / {_digits(rng, 6)}"))
+    a, b, c, n = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4), rng.randint(1, 99)
+    return rng.choice((f"+{n} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"+{n} {a} {b} {c}", f"+{n}-{a}-{b}-{c}", f"0{a} / {_digits(rng, 6)}", f"0{_digits(rng, 2)} {_digits(rng, 3)} {_digits(rng, 4)}"))
+
+
+def _secret(rng: random.Random) -> tuple[str, str, str]:
+    """What stands before a secret, the secret, and what follows it."""
+    signs = rng.choice(("0123456789abcdef", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    said = rng.choice(("", "", "", "sk-", "ghp_", "AKIA")) + "".join(rng.choice(signs) for _ in range(rng.choice((20, 24, 32, 40, 40))))
+    name = rng.choice(("token", "token", "api_key", "apikey", "secret", "secret_key", "password", "passwd", "access_token", "auth", "key"))
+    name, quote = rng.choice((name, name, name.upper(), name.capitalize())), rng.choice(('"', '"', "'", ""))
+    return f"{name}{rng.choice((' = ', '=', ': ', ' '))}{quote}", said, quote
 
 
 def _look_alike(rng: random.Random) -> str:
@@ -89,12 +99,17 @@ def _look_alike(rng: random.Random) -> str:
     return rng.choice(
         (
             f"Version {rng.randint(1, 9)}.{rng.randint(0, 9)}.", f"version {rng.randint(1, 9)}.", f"{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", f"20{_digits(rng, 2)}-{_digits(rng, 2)}-{_digits(rng, 2)}",
-            f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.20{_digits(rng, 2)}", f"{rng.randint(0, 23)}:{_digits(rng, 2)}:{_digits(rng, 2)}", f'token = "{hexed}"', f"password={hexed}", f"AKIA{_name(rng).upper()}{_digits(rng, 3)}", f"${rng.randint(1, 9)},{_digits(rng, 3)}.{_digits(rng, 2)}",
+            f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.20{_digits(rng, 2)}", f"{rng.randint(0, 23)}:{_digits(rng, 2)}:{_digits(rng, 2)}", f"commit {hexed}", f"sha1 {hexed}", f"digest: {hexed}", f"token {rng.randint(1, 99)}", f"{hexed[:8]}-{hexed[4:8]}-{hexed[8:12]}-{hexed[2:6]}-{hexed[4:16]}", f"${rng.randint(1, 9)},{_digits(rng, 3)}.{_digits(rng, 2)}",
             f"#{_digits(rng, rng.randint(4, 12))}", f"{_digits(rng, rng.randint(4, 20))}", f"@{_name(rng)}", f"{rng.randint(1, 9)} @ {rng.randint(1, 9)}", f"978-{_digits(rng, 1)}-{_digits(rng, 2)}-{_digits(rng, 6)}-{_digits(rng, 1)}", f"{_digits(rng, 4)}-{_digits(rng, 4)}", f"({rng.randint(1, 99)})", f"1{_digits(rng, 9)}",
         )
     )
 
 
+def _cue(rng: random.Random, kind: str) -> str:
+    """A word that often stands before data of a kind."""
+    return rng.choice({"email": ("mail ", "Email: ", "contact "), "ip": ("host ", "from ", "IP: "), "card": ("card ", "Visa: ", "no. "), "phone": ("tel ", "Tel.: ", "phone: ", "call ", "fax ")}[kind])
+
+
 _MAKERS = (_email, _ip, _card, _phone)
 
 
@@ -108,9 +123,10 @@ def labelled(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, in
             roll = rng.random()
             if roll < 0.16:
                 kind = rng.randrange(len(KINDS))
-                said = _MAKERS[kind](rng)
+                before, said, after = _secret(rng) if KINDS[kind] == "secret" else (rng.choice(("", "", "", _cue(rng, KINDS[kind]))), _MAKERS[kind](rng), "")
+                text += before
                 found.append((kind, len(text), len(text) + len(said)))
-                text += said + rng.choice(("", "", ".", ",", ";"))
+                text += said + after + rng.choice(("", "", ".", ",", ";", "!!"))
             elif roll < 0.32:
                 text += _look_alike(rng)
             else:
@@ -159,7 +175,10 @@ class Tagger:
         h = HIDDEN
         bias = np.zeros((2, CLASSES, 4 * h), np.float32)
         bias[:, :, h : 2 * h] = 1  # gates: input, forget, output, candidate
-        self.inputs, self.recurrent = f(2, CLASSES, 4 * h) * 0.3 + bias, f(2, h, 4 * h) * np.float32(0.5 / np.sqrt(h))
+        first = f(2, CLASSES, 4 * h)
+        for group in _GROUPS:
+            first[:, _ASCII[list(group)]] = first[:, _ASCII[[group[0]]]]
+        self.inputs, self.recurrent = first * np.float32(0.3) + bias, f(2, h, 4 * h) * np.float32(0.5 / np.sqrt(h))
         self.out, self.out_bias = f(2 * h, TAGS) * np.float32(1 / np.sqrt(2 * h)), np.zeros(TAGS, np.float32)
         self.transitions, self.mask = np.zeros((TAGS, TAGS), np.float32), _mask()
 
@@ -209,23 +228,20 @@ class Tagger:
         kept: list = []
         states = self._states(x, kept)
         emit = states @ self.out + self.out_bias
-        move = self.transitions + self.mask
-        alpha, beta = np.empty((t_end, n, TAGS), np.float32), np.zeros((t_end, n, TAGS), np.float32)
-
-        def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-            top = a.max(axis=axis, keepdims=True)
-            return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
-
-        alpha[0] = emit[:, 0] + self.mask[0]
-        for t in range(1, t_end):
-            alpha[t] = log_sum(alpha[t - 1][:, :, None] + move, 1) + emit[:, t]
+        # forward and backward sums as products of probabilities, scaled at each place
+        step = np.exp(self.transitions + self.mask)
+        likely = np.exp(emit - emit.max(axis=2, keepdims=True)).transpose(1, 0, 2)
+        alpha, beta, scale = np.empty((t_end, n, TAGS), np.float32), np.ones((t_end, n, TAGS), np.float32), np.empty((t_end, n, 1), np.float32)
+        alpha[0] = likely[0] * np.exp(self.mask[0])
+        for t in range(t_end):
+            if t:
+                alpha[t] = (alpha[t - 1] @ step) * likely[t]
+            scale[t] = alpha[t].sum(axis=1, keepdims=True)
+            alpha[t] /= scale[t]
         for t in range(t_end - 2, -1, -1):
-            beta[t] = log_sum(move + (emit[:, t + 1] + beta[t + 1])[:, None, :], 2)
-        total = log_sum(alpha[-1], 1)
-        d_emit = np.exp(alpha + beta - total[None, :, None]).transpose(1, 0, 2)
-        d_move = np.zeros_like(move)
-        for t in range(1, t_end):
-            d_move += np.exp(alpha[t - 1][:, :, None] + move + (emit[:, t] + beta[t])[:, None, :] - total[:, None, None]).sum(axis=0)
+            beta[t] = ((likely[t + 1] * beta[t + 1]) @ step.T) / scale[t + 1]
+        d_emit = (alpha * beta).transpose(1, 0, 2).copy()
+        d_move = step * (alpha[:-1].reshape(-1, TAGS).T @ (likely * beta / scale)[1:].reshape(-1, TAGS))
         d_emit[np.arange(n)[:, None], np.arange(t_end)[None], y] -= 1
         np.add.at(d_move, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
         d_move[self.mask != 0] = 0
@@ -234,17 +250,22 @@ class Tagger:
         d_out = states.reshape(-1, 2 * HIDDEN).T @ d_emit.reshape(-1, TAGS)
         d_inputs, d_recurrent = np.zeros_like(self.inputs), np.zeros_like(self.recurrent)
         dh, dc = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        back = np.ascontiguousarray(self.recurrent.transpose(0, 2, 1))
+        d_seen = np.empty((2, t_end, n, 4 * HIDDEN), np.float32)
         for t in range(t_end - 1, -1, -1):
             i, f, o, g, old, old_h, tc = kept[t]
             dh = dh + np.stack([d_states[:, t, :HIDDEN], d_states[:, t_end - 1 - t, HIDDEN:]])
             dc = dc + dh * o * (1 - tc * tc)
             dz = np.concatenate([dc * g * i * (1 - i), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=-1)
-            d_recurrent += old_h.transpose(0, 2, 1) @ dz
-            for way, seen in ((0, x[:, t]), (1, x[:, t_end - 1 - t])):
-                hot = np.zeros((CLASSES, n), np.float32)
-                hot[seen, np.arange(n)] = 1
-                d_inputs[way] += hot @ dz[way]
-            dh, dc = dz @ self.recurrent.transpose(0, 2, 1), dc * f
+            d_seen[:, t] = dz
+            dh, dc = dz @ back, dc * f
+        before = np.stack([k[5] for k in kept], axis=1)  # the hidden states each place begins with
+        for way in range(2):
+            d_recurrent[way] = before[way].reshape(-1, HIDDEN).T @ d_seen[way].reshape(-1, 4 * HIDDEN)
+        for way, seen in ((0, x.T.ravel()), (1, x[:, ::-1].T.ravel())):
+            order = np.argsort(seen, kind="stable")
+            which, first = np.unique(seen[order], return_index=True)
+            d_inputs[way][which] = np.add.reduceat(d_seen[way].reshape(len(seen), -1)[order], first)
         return [d_inputs, d_recurrent, d_out, d_emit.sum(axis=(0, 1)), d_move / n]
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 10) -> Tagger:
