@@ -64,6 +64,20 @@ def test_extreme_scales(spark):
     check(spark, list(enumerate(v)))
 
 
+def test_values_beyond_the_range_of_squares(spark):
+    df = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [3.0, 4.0]), (3, [5e-324, 0.0]), (100, [0.0, 1e-320])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in neighbours.nearest(df).orderBy("query_id", "rank").collect()]
+    inf = float("inf")
+    assert got == [(0, 1, 1.0), (0, 2, inf), (0, 3, inf), (0, 100, inf), (100, 3, 0.0), (100, 2, 5.0), (100, 0, inf), (100, 1, inf)]
+
+
+def test_a_repeated_query_id_answers_for_its_least_vector(spark):
+    rows = [(100, [5.0, 0.0]), (100, [1.0, 0.0]), (7, [1.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        assert [(r["vec_id"], r["score"]) for r in neighbours.nearest(df).collect()] == [(7, 1.0)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=(20, 32)), rng.normal(size=(50, 32))
