@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,22 @@ from pyspark.sql import functions as F
 from latticework.scratch import shared_folder
 
 
+_opened: ContextVar[list[Scratch] | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Deletes, at its end, the tables of every ``Scratch`` made within the block: what was returned must be written by then."""
+    token = _opened.set([])
+    try:
+        yield
+    finally:
+        made = _opened.get()
+        _opened.reset(token)
+        for scratch in made:
+            scratch.drop_all()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
@@ -23,6 +41,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
+        if (opened := _opened.get()) is not None:
+            opened.append(self)
 
     def path(self) -> str:
         self.count += 1
@@ -35,11 +55,16 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(frame.scratch_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +119,22 @@ def _stars_done(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["s"]
 
 
+HOT = 1000  # keys with more than this part of all rows are hot: there are fewer than so many
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, count: str, scratch: Scratch) -> DataFrame:
+    """``rows`` joined with ``counts``, which has one row for each key and, in ``count``, how many rows have it.
+
+    The rows of hot keys, fewer than ``HOT`` by their definition, are joined where they
+    lie, so a key with a third of all rows never meets in one task; the others by key.
+    """
+    counts = scratch.table(counts)
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    hot = counts.where(F.col(count) > total / HOT)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counts.where(F.col(count) <= total / HOT), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 SALTS = 8  # tasks that share the edges of one hub
 
 

@@ -92,7 +92,7 @@ def fingerprints(samples: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(found).astype(np.int64))
 
 
-_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_fingerprints long, feature string"
+_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_fingerprints long, feature string, fingerprints array<long>"
 
 
 def _digests(raw: bytes | None) -> tuple:
@@ -109,21 +109,23 @@ def _run(with_media: bool):
             found = [_digests(raw) for raw in raw_texts(batch.column("text"))]
             arrays = [batch.column("doc_id"), *(pa.array(x) for x in zip(*(row for _, _, row in found), strict=True))]
             names = [part.split()[0] for part in _SCHEMA.split(", ")]
+            ends = np.cumsum([0, *(len(p) for _, p, _ in found)])
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p for _, p, _ in found]), pa.int64())))
             if with_media:
-                arrays += [pa.array([m for m, _, _ in found], pa.binary()), pa.array([p.tolist() for _, p, _ in found], pa.list_(pa.int64()))]
-                names += ["media", "fingerprints"]
+                arrays.append(pa.array([m for m, _, _ in found], pa.binary()))
+                names.append("media")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_media: bool = True) -> DataFrame:
-    """One row for each row of ``docs``: digests of payload, stored form and features.
+    """One row for each row of ``docs``: digests of payload, stored form and features, and the
+    ``fingerprints`` themselves, a time-coded array of long.
 
-    ``with_media`` adds the columns ``media`` (the WAV file) and ``fingerprints``
-    (array of long).  A null text counts as empty and has a payload of 64 zero
+    ``with_media`` adds the column ``media`` (the WAV file).  A null text counts as empty and has a payload of 64 zero
     bytes; a null doc_id stays null; equal texts have equal values.  A payload
     that is constant has no peaks and an empty array.  Other columns are ignored.
     """
     own = picked(docs, doc_id=(doc_id, "long"), text=(text, "string"))
-    return own.mapInArrow(_run(with_media), _SCHEMA + (", media binary, fingerprints array<long>" if with_media else ""))
+    return own.mapInArrow(_run(with_media), _SCHEMA + (", media binary" if with_media else ""))

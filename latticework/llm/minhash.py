@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, connected_components, number_of, numbered, picked, raw_texts, shuffle_partitions, slices
+from latticework.llm.common import Scratch, connected_components, join_counted, number_of, numbered, picked, raw_texts, shuffle_partitions, slices
 from latticework.llm.shingles import mix, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
@@ -249,14 +249,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sketches = scratch.table(sketches.select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "threes"))
     bands = scratch.table(sketches.select("node", "sketch", "threes").mapInArrow(_bands, "band long, node long"))
     groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("members > 1")
-    groups = groups.select("band", F.xxhash64("members", "sum").alias("gid"), F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    members = bands.join(groups, "band").select("gid", "blocks", "node").distinct()
+    groups = groups.select("band", "members", F.xxhash64("members", "sum").alias("gid"), F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    members = join_counted(bands, groups, "band", "members", scratch).select("gid", "blocks", "node").distinct()
     near = _tile_rows(members.join(sketches.drop("threes"), "node")).mapInArrow(_compare(False), "a long, b long")
     clusters = scratch.table(connected_components(near, scratch).select("node", F.col("component").alias("gid")))
     scratch.drop(bands)
     weights = clusters.join(sketches.select("node", "n_shingles"), "node").groupBy("gid").agg(F.count(F.lit(1)).alias("n"), (F.sum("n_shingles") * 8).alias("bytes"))
-    weights = weights.select("gid", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
-    texts = own.withColumnRenamed("doc_id", "node").join(clusters.join(weights, "gid"), "node")
+    weights = weights.select("gid", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    texts = own.withColumnRenamed("doc_id", "node").join(join_counted(clusters, weights, "gid", "n", scratch).drop("n"), "node")
     sets = texts.mapInArrow(_full_sets, "node long, gid long, blocks long, n_shingles long, sketch binary, found binary")
     links = _tile_rows(sets).mapInArrow(_compare(True), "a long, b long")
     components = connected_components(links, scratch)

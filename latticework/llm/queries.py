@@ -24,7 +24,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all documents' WAV payloads and of their spectral fingerprints."""
+    """All documents' spectral fingerprints, with digests of them and of the WAV payloads."""
     return media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
 
 

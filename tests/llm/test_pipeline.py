@@ -85,7 +85,7 @@ def test_run_gives_the_last_stage(spark, stages):
 def test_empty_and_edge_documents_pass_every_stage(spark, edges, none):
     scratch = Scratch(spark, "test")
     for docs in (none, edges):
-        docs = docs.toDF(*docs.columns[: len(docs.columns) - len(MORE)], *(f"x{i}" for i in range(len(MORE)))).withColumnsRenamed({f"x{i}": f"{n}_" if n.lower() in ("text", "source", "doc_id", "_source") else n for i, n in enumerate(MORE)})
+        docs = docs.toDF(*docs.columns[: len(docs.columns) - len(MORE)], *(f"x{i}" for i in range(len(MORE)))).withColumnsRenamed({f"x{i}": f"{n}_{i}" if n.lower() in ("text", "source", "doc_id", "_source") else n for i, n in enumerate(MORE)})
         for _, stage in corpus_pipeline.STAGES:
             docs = scratch.table(stage(spark, docs, SF))
         assert docs.count() >= 0
