@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm import minhash, mixing, packing, pii, quality
-from latticework.llm.common import Scratch, table
+from latticework.llm.common import Scratch, dropped_after, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents under ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        with dropped_after():  # a stage's inner tables, once its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir))
         if before is not None:
             scratch.drop(before)
         before = docs
