@@ -13,6 +13,7 @@ version or name may stand among them.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
@@ -23,6 +24,12 @@ from pyspark.sql import DataFrame
 
 from latticework.llm.common import picked, raw_texts, slices
 
+# The identifiers that stand in a line of their own in source files, and the licenses they name.
+SPDX: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"),
+    ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-2.1", "LGPL-2.1-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"),
+    ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("MPL-2.0", "MPL-2.0"), ("ISC", "ISC"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC0-1.0", "CC0-1.0"), ("Unlicense", "Unlicense"),
+)
 # License identifiers and the wordings in which texts declare them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -54,6 +61,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-rights-reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission."),
+    *((name, f"SPDX-License-Identifier: {said}") for name, said in SPDX),
 )
 # A declaration holds at least one of these words.
 HINTS = (b"licens", b"permission", b"permitted", b"public domain", b"redistribut")
@@ -212,11 +220,12 @@ def scan_text(raw: bytes | None) -> list[tuple[int, int, str, float, str, str]]:
                 taken.append((a, b))
                 found.append((a, b, TEMPLATES[t][0], round(gain, 6), " ".join(missing), " ".join(added)))
                 again = True
-    kept: list[tuple] = []
-    for f in sorted(found, key=lambda f: (len(f[4]) + len(f[5]), f[0] - f[1], f[0])):
-        if all(f[1] <= k[0] or k[1] <= f[0] for k in kept):
-            kept.append(f)
-    return sorted(kept)
+    kept: list[tuple] = []  # by place, so a new one need only be held against its neighbours
+    for f in sorted(set(found), key=lambda f: (len(f[4]) + len(f[5]), f[0] - f[1], f[0])):
+        at = bisect(kept, f)
+        if (not at or kept[at - 1][1] <= f[0]) and (at == len(kept) or f[1] <= kept[at][0]):
+            kept.insert(at, f)
+    return kept
 
 
 _SCHEMA = "doc_id long, start long, end long, license string, reduction double, missing string, added string"

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import textwrap
+import time
 
 import pytest
 
@@ -69,6 +70,25 @@ def test_every_ranked_template_is_tried():
             assert [f[2] for f in scan_text(f"{other} {wording}".encode())] == [name]
 
 
+def test_identifiers_in_source_files():
+    text = "#!/bin/sh\n# SPDX-License-Identifier: GPL-3.0-or-later\n/* SPDX-License-Identifier: MIT */\n# SPDX-License-Identifier: ISC\n# SPDX-License-Identifier: Other-1.0\n"
+    assert [(f[2], text[f[0] : f[1]]) for f in scan_text(text.encode())] == [("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), ("MIT", "SPDX-License-Identifier: MIT"), ("ISC", "SPDX-License-Identifier: ISC")]
+
+
+def test_long_texts_take_linear_time():
+    """Eight times the text takes no more than some ten times as long, whether or not it declares licenses in one line."""
+    for part in ("licensed drivers may license ", "Released under the MIT License. filler words follow here and there "):
+        took = []
+        for n in (250, 2000):
+            began = time.process_time()
+            scan_text((part * n).encode())
+            took.append(time.process_time() - began)
+        assert took[1] < 14 * took[0] + 0.2
+    began = time.process_time()
+    assert scan_text(("words and lines\n" * 625_000 + "Released under the MIT License.").encode())[0][2] == "MIT"
+    assert time.process_time() - began < 10  # ten million bytes
+
+
 def test_small_changes_are_told():
     text = TEMPLATES[4][1].replace("hereby", "kindly")
     (found,) = scan_text(text.encode())
