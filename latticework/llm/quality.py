@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import number_of, numbered, picked, raw_texts, slices
@@ -23,6 +23,7 @@ from latticework.llm.common import number_of, numbered, picked, raw_texts, slice
 WIDTH, FILTERS, EMBED, HIDDEN = 8, 16, 8, 16
 SEGMENT = 128  # a chunk is two neighbouring segments
 SAMPLE_ROWS = 1200  # labelled rows the network is fitted on, at most
+SAMPLE_BYTES = 1 << 17  # the size of each, at most
 EPOCHS, BATCH, RATE = 10, 48, 0.01
 PIECES = 5  # good texts of a batch of which a short piece is learned instead
 _PAD = bytes(WIDTH)
@@ -207,20 +208,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network
 
     The rows with the smallest hashes of doc_id are taken, half of each label
     where there are so many; their whole texts are used.  Rows without a label
-    or with two different ones aren't used.
+    or with two different ones aren't used, nor are texts above ``SAMPLE_BYTES``,
+    in whose place the next ones are taken: so what reaches the driver is bounded.
     """
     labels = picked(labels, doc_id=("doc_id", "long"), quality=("quality", "int"))
     known = labels.where(~held_out()).where("doc_id is not null and quality in (0, 1)")
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
-    found = picked(docs, doc_id=("doc_id", "long"), text=("text", "string"))
-    chosen: list = []
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    asked: list = []
     for label in (0, 1):
-        chosen += known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2).select("doc_id", "quality").collect()  # at most rows
-    by_id = {r["doc_id"]: r["quality"] for r in chosen}
-    if not by_id:
+        asked += known.where(F.col("quality") == label).orderBy(*order).limit(rows).select("doc_id", "quality").collect()  # at most twice rows
+    if not asked:
         return None
-    texts = found.where(F.col("doc_id").isin(list(by_id))).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return train([(r["text"] or "").encode("utf-8", "surrogatepass") for r in texts], np.array([by_id[r["doc_id"]] for r in texts]))
+    asked_table = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in asked], "doc_id long, quality int")
+    found = picked(docs, doc_id=("doc_id", "long"), text=("text", "string")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    found = found.join(F.broadcast(asked_table), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(*order))
+    chosen = found.withColumn("place", place).where(F.col("place") <= rows // 2).orderBy("doc_id").collect()
+    return train([(r["text"] or "").encode("utf-8", "surrogatepass") for r in chosen], np.array([r["quality"] for r in chosen]))
 
 
 def score_texts(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,3 +91,13 @@ def test_edges(spark, edges, none):
     kept = quality.keep_good(edges, fresh)
     assert kept.columns == edges.columns and kept.count() <= edges.count()
     assert quality.fit(none, spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
+def test_what_reaches_the_driver_is_bounded(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda raws, labels: learned.extend(zip(raws, labels.tolist(), strict=True)))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 50)
+    docs = spark.createDataFrame([(i, "é" * (30 if i % 3 == 0 else 20)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    quality.fit(docs, labels, rows=20)
+    assert sorted(q for _, q in learned) == [0] * 10 + [1] * 10 and all(len(raw) == 40 for raw, _ in learned)
