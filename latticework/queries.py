@@ -566,9 +566,15 @@ def multi_path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- runs --------------------------------------------------------------------------
 
 
+_logs: dict[tuple[str, str], str] = {}
+
+
 def _log(spark: SparkSession, sf_dir: str) -> str:
-    """All events in hourly directories, as a log arrives."""
-    root = fresh_folder(spark, "log")
+    """All events in hourly directories, as a log arrives; written once in a session."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place in _logs and matching(spark, [f"{_logs[place]}/_SUCCESS"])[f"{_logs[place]}/_SUCCESS"]:
+        return _logs[place]
+    root = _logs[place] = fresh_folder(spark, "log")
     every = table(spark, sf_dir, "events").withColumn("d", F.date_format("ts", "yyyy-MM-dd")).withColumn("h", F.date_format("ts", "HH"))
     every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "d", "h").write.partitionBy("d", "h").parquet(root)
     return root

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -32,11 +33,37 @@ def expand(templates: Sequence[str], start: datetime, end: datetime) -> list[str
     return list(dict.fromkeys(out))
 
 
+_PLAIN = re.compile(r"[\w.=-]+")
+
+
+def _children(spark: SparkSession, folder: str) -> dict[str, str] | None:
+    """The whole paths of what a folder holds, by name, fetched as one text; None if a comma in a name makes it ambiguous."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(at))
+    every = jvm.org.apache.commons.lang3.ArrayUtils.toString(paths)[1:-1].split(",") if len(paths) else []
+    return {p.rpartition("/")[2]: p for p in every} if len(every) == len(paths) else None
+
+
 def matching(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """For each path or glob what it matches, on whatever file system it names."""
+    """For each path or glob what it matches, on whatever file system it names.
+
+    Plain paths are looked up in one listing of their folder.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = {}
+    found: dict[str, list[str]] = {}
+    listed: dict[str, dict[str, str] | None] = {}
     for p in paths:
+        folder, _, name = p.rpartition("/")
+        if folder and _PLAIN.fullmatch(name) and not set(folder) & set("*?[]{},\\"):
+            if folder not in listed:
+                listed[folder] = _children(spark, folder)
+            if (there := listed[folder]) is not None:
+                found[p] = [there[name]] if name in there else []
+                continue
         at = jvm.org.apache.hadoop.fs.Path(p)
         status = at.getFileSystem(conf).globStatus(at)
         found[p] = [s.getPath().toString() for s in status or ()]

@@ -18,7 +18,7 @@ from latticework.plans.schedule import Work
 from latticework.sinks.export import JdbcSink, StrictInsertError, TableColumn, UnsupportedSink, export, parse_aliases, project, reject_rows, rejects, top_rows, truncate_bytes, upsert_statement
 from latticework.sinks.store import StateStore
 from latticework.sources.lists import load_lists
-from latticework.sources.paths import MissingInput, expand, resolve, strictest
+from latticework.sources.paths import MissingInput, expand, matching, resolve, strictest
 from latticework.sources.readers import UnsupportedSource, read, read_avro, with_file
 from latticework.streaming.increments import period_start, read_stream_states, start_stream
 
@@ -42,6 +42,12 @@ def test_completeness(spark, tmp_path):
     with pytest.raises(MissingInput, match="no input"):
         resolve(spark, InputSpec((str(tmp_path / "none/%H"),), check="no"), DAY, two)
     assert len(resolve(spark, InputSpec((str(tmp_path / "x/0*"),)), DAY, two)) == 1
+    (tmp_path / "x" / "a,b").mkdir()
+    some = [str(tmp_path / "x" / n) for n in ("00", "a", "a,b", "01")] + [str(tmp_path / "y" / "00")]
+    assert [len(h) for h in matching(spark, some).values()] == [1, 0, 1, 0, 0]
+    assert matching(spark, some[:1])[some[0]][0].endswith("/x/00")
+    (tmp_path / "x" / "a,b").rmdir()
+    assert [len(h) for h in matching(spark, some).values()] == [1, 0, 0, 0, 0]
 
 
 def test_readers(spark, tmp_path):
