@@ -104,7 +104,7 @@ def test_runs_of_millions_have_the_tokenizers_ids(run):
 def test_ten_million_blanks(spark):
     text = " " * 10_000_000 + "a"
     rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    assert sum(r["length"] for r in rows) == len(packing.encoder(*packing.vocabulary())(text)) + 1
+    assert sum(r["length"] for r in rows) == 10_000_001  # a blank each but the last, which goes with the letter, and the end
 
 
 @settings(max_examples=25, deadline=None)
