@@ -8,7 +8,8 @@ Keys that find their shard full continue clockwise to the next shard with room.
 
 The walk needs the slices' counts alone (2**15 at most, whatever the input): it
 assigns runs of ranks in a slice to shards.  A row's rank in its slice then gives
-its shard and its slot.  With another number of shards the points of the old ones
+its shard and its slot.  Ranks come from one sort by ranges that divides equal keys,
+so a key with a third of all rows lies in many tasks.  With another number of shards the points of the old ones
 stay, so a row moves only if a new point precedes its old one or a bound pushed it.
 """
 
@@ -16,11 +17,12 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import picked
+from latticework.llm.common import Scratch, picked, with_place
 
 SHARDS, VIRTUAL, SLICE_BITS = 16, 128, 15
 SLICES = 1 << SLICE_BITS
@@ -75,14 +77,17 @@ def assign(rows: DataFrame, key: str, order: list[str], shards: int = SHARDS) ->
 
     ``order`` tells the rows of a slice apart; equal rows may swap their slots.
     """
-    cut = rows.withColumn("_slice", slice_of(F.col(key)))
+    scratch = Scratch(rows.sparkSession, "sharding")
+    # written, so that each row keeps its number, which alone tells equal rows apart
+    cut = scratch.table(rows.withColumns({"_slice": slice_of(F.col(key)), "_row": F.monotonically_increasing_id()}))
     counts = {r["_slice"]: r["count"] for r in cut.groupBy("_slice").count().collect()}  # at most 2**15
-    runs = rows.sparkSession.createDataFrame(walk(counts, shards) or [(0, 0, 0, 0, 0)], "_slice int, _first long, _end long, shard int, _slot long")
-    within = Window.partitionBy("_slice").orderBy(F.xxhash64(F.lit(9), F.col(key)), *order)
-    ranked = cut.withColumn("_rank", F.row_number().over(within) - 1)
+    before = dict(zip(sorted(counts), accumulate((counts[s] for s in sorted(counts)), initial=0), strict=False))
+    runs = [(s, before[s] + first, before[s] + end, shard, slot) for s, first, end, shard, slot in walk(counts, shards)]
+    runs = rows.sparkSession.createDataFrame(runs, "_slice int, _first long, _end long, shard int, _slot long")
+    placed = with_place(cut, scratch, [F.col("_slice"), F.xxhash64(F.lit(9), F.col(key)), *map(F.col, order), F.col("_row")], "_place")
     # at most 2**15 runs and one for each shard that fills up
-    out = ranked.join(F.broadcast(runs), "_slice").where("_rank >= _first and _rank < _end")
-    return out.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_first")).drop("_slice", "_rank", "_first", "_end", "_slot")
+    out = placed.join(F.broadcast(runs), "_slice").where("_place >= _first and _place < _end")
+    return out.withColumn("slot", F.col("_slot") + F.col("_place") - F.col("_first")).drop("_slice", "_row", "_place", "_first", "_end", "_slot")
 
 
 def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:

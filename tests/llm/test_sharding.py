@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from latticework.llm import sharding
 
 
@@ -38,6 +40,13 @@ def test_one_key_for_all(spark):
     check(spark.createDataFrame([(7, str(i)) for i in range(100)], "doc_id long, text string"))
 
 
+def test_equal_rows_for_all_lie_in_many_tasks(spark):
+    df = spark.createDataFrame([(7, "same")] * 3000, "doc_id long, text string").repartition(4)
+    check(df)
+    sizes = [r["n"] for r in sharding.shard_documents(df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1500
+
+
 def brute_walk(counts, shards):
     """Key by key: each goes to the next point clockwise whose shard has room."""
     points = sharding.ring(shards)
