@@ -152,12 +152,12 @@ def _texts_and_spans(raws: list[bytes | None], net: Tagger, every: bool) -> Iter
         yield (text if m else None), base, more
 
 
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_window: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, counts of the base rules' spans by kind,
-    base_sha256, spans (base and added), n_added.
+    base_sha256, spans (base and added), n_added, n_spans (base and added).
 
     A null text counts as empty and has no spans; a null doc_id stays null; equal
     texts have equal spans.  Other columns are ignored.
@@ -169,7 +169,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", e
             rows = []
             for _, base, more in _texts_and_spans(raw_texts(batch.column("text")), shared.value, every_window):
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(BASE_KINDS)]
-                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more)))
+                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more), len(base) + len(more)))
             arrays = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], [p.split()[0] for p in _SCHEMA.split(", ")])
 

@@ -188,7 +188,7 @@ def test_documents_have_exact_base_spans_and_the_secrets(spark):
         assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == kind for k, _, _ in want) for kind, _ in PLAIN]
         secrets = [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)\btoken = "([0-9a-f]{40})"', d["text"])]
-        assert r["n_added"] == len(secrets) and r["spans"] == ",".join(filter(None, [said, *secrets]))
+        assert r["n_added"] == len(secrets) and r["n_spans"] == len(r["spans"].split(",")) * bool(r["spans"]) and r["spans"] == ",".join(filter(None, [said, *secrets]))
         seen += len(secrets)
     assert seen > 5
 
