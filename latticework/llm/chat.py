@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Scratch, picked, shuffle_partitions, with_place
+from latticework.llm.common import Scratch, join_counted, picked, shuffle_partitions, with_place
 from latticework.llm.packing import encoder, vocabulary
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -151,8 +151,10 @@ def chat_windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     own = own.withColumns({c: F.coalesce(c, empty) for c in ("role", "text")})
     # ranges of the order, not conversations, are dealt out: a long one lies in many tasks
     placed = with_place(own, scratch, [F.col(c) for c in ("conv_id", "turn", "role", "text")])
-    starts = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("place").alias("_first"), F.max("place").alias("_end"))
-    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("at", F.col("place") - F.col("_first"))
+    # no join on a null key: a string stands for it that no number is
+    placed = placed.withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), empty))
+    starts = placed.groupBy("_conv").agg(F.min("place").alias("_first"), F.max("place").alias("_end"), F.count(F.lit(1)).alias("_turns"))
+    placed = join_counted(placed, starts, "_conv", "_turns", scratch).withColumn("at", F.col("place") - F.col("_first"))
     block, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("_end") - F.col("_first")) / BLOCK)
     here = lambda number, why: F.struct(number.alias("block"), F.lit(why).alias("why"))
     none = F.array().cast("array<struct<block:bigint,why:int>>")
