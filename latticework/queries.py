@@ -3,13 +3,17 @@ SELECT for each roll-up, joined by UNION ALL."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
+import os
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, suppress
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 from itertools import combinations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -734,6 +738,21 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- export ------------------------------------------------------------------------
 
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+@contextmanager
+def _database(spark: SparkSession) -> Iterator[JdbcSink]:
+    """A sink into an embedded database on the driver's own disk, which goes with the block."""
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="latticework-derby-"))
+    try:
+        yield JdbcSink(spark, f"jdbc:derby:{folder}/db;create=true", driver=_DERBY)
+    finally:
+        with suppress(Py4JJavaError):  # by which Derby says that it has shut the database
+            JdbcSink(spark, f"jdbc:derby:{folder}/db;shutdown=true", driver=_DERBY).execute()
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 _EXPORT = lattice_sql(_EVENT, ("day", "event_type"), sums("value"), subsets(("day", "event_type")))
 
 
@@ -755,30 +774,20 @@ def export_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN p_size > 40 THEN 'p_brand: no value' || CASE WHEN octet_length(encode(p_name)) > 12 THEN '; p_name: longer than 12 bytes' ELSE '' END ELSE 'p_name: longer than 12 bytes' END AS errorinfo, 1704067200 AS "timestamp" FROM part WHERE p_size > 40 OR octet_length(encode(p_name)) > 12""")
 def reject_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows in the form of the exception table, written and read back."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    sink = JdbcSink(spark, url, driver=_DERBY)
-    sink.execute('CREATE TABLE rejected ("user" VARCHAR(64), modelname VARCHAR(128), type VARCHAR(128), context CLOB, errorinfo CLOB, "timestamp" INTEGER)')
-    sink.append(reject_rows(export_rejects(spark, sf_dir), "me", "Parts", _JANUARY), "rejected")
-    return sink.select('SELECT "user", modelname AS "modelname", type AS "type", context AS "context", errorinfo AS "errorinfo", "timestamp" FROM rejected')
-
-
-_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    with _database(spark) as sink:
+        sink.execute('CREATE TABLE rejected ("user" VARCHAR(64), modelname VARCHAR(128), type VARCHAR(128), context CLOB, errorinfo CLOB, "timestamp" INTEGER)')
+        sink.append(reject_rows(export_rejects(spark, sf_dir), "me", "Parts", _JANUARY), "rejected")
+        return sink.select('SELECT "user", modelname AS "modelname", type AS "type", context AS "context", errorinfo AS "errorinfo", "timestamp" FROM rejected')
 
 
 @registered(lattice_sql(f"SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS period, event_type, {cents_sql('value')} AS value FROM events", ("period", "event_type"), sums("value") + ", CAST(COUNT(*) AS BIGINT) AS events", subsets(("event_type",))))
 def export_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hour exported into one table, a day's hours a write and several writes at once, and again; the table read back.
-
-    The database is an embedded one, in the memory of a local session.
-    """
-    sink = JdbcSink(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", driver=_DERBY)
-    sink.execute('CREATE TABLE EventsHourly (event_type VARCHAR(20), value BIGINT, events BIGINT, "TIMESTAMP" BIGINT)')
+    """Every hour exported into one table, a day's hours a write and several writes at once, and again; the table read back."""
     root = _log(spark, sf_dir)
     spec = _log_spec("Events", root, ["event_type"], [VALUE, Target("events", "SUM", value="1")], Frequency.Hourly)
     engine, hours = Engine(spark, fresh_folder(spark, "store")), _hours(spark, root)
     engine.run([spec], Frequency.Hourly, hours)
     name = spec.table_name(Frequency.Hourly)
-    columns = [c.name for c in sink.columns(name)]
 
     def write(day: datetime) -> None:
         own = [h for h in hours if h.date() == day.date()]
@@ -786,10 +795,13 @@ def export_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown = project(rows, columns, period_time(), {c.upper(): c for c in rows.columns})
         sink.replace_periods(shown, name, "TIMESTAMP", [str(int(h.replace(tzinfo=timezone.utc).timestamp())) for h in own])
 
-    with ThreadPoolExecutor(4) as pool:
-        for _ in range(2):
-            list(pool.map(write, _days(hours)))
-    return sink.select('SELECT "TIMESTAMP" AS "period", event_type AS "event_type", value AS "value", events AS "events" FROM EventsHourly')
+    with _database(spark) as sink:
+        sink.execute('CREATE TABLE EventsHourly (event_type VARCHAR(20), value BIGINT, events BIGINT, "TIMESTAMP" BIGINT)')
+        columns = [c.name for c in sink.columns(name)]
+        with ThreadPoolExecutor(4) as pool:
+            for _ in range(2):
+                list(pool.map(write, _days(hours)))
+        return sink.select('SELECT "TIMESTAMP" AS "period", event_type AS "event_type", value AS "value", events AS "events" FROM EventsHourly')
 
 
 @registered(f"SELECT * FROM ({_EXPORT}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, day) <= 3")

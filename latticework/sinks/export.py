@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from latticework.jdbc import BATCH, connected, read_rows, write_rows
 from latticework.plans.spec import TopFilter
 
 
@@ -141,40 +142,29 @@ class JdbcSink:
     writes of several periods into one table run at once; only what changes the table
     itself, or makes and drops stages, is done one at a time for each database and table.
     The options are those of Spark's JDBC source (url, driver, user, password);
-    they are never logged.
+    they are never logged. An embedded database, which is the driver's own, gets its rows
+    from the driver and is read by it.
     """
 
     def __init__(self, spark: SparkSession, url: str, **options: str):
         self.spark, self.url, self.options = spark, url, options
 
-    def _connection(self):
-        jvm = self.spark._jvm
-        props = jvm.java.util.Properties()
-        for k, v in self.options.items():
-            props.setProperty(k, v)
-        if "driver" in self.options:
-            jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self.options["driver"])
-        return jvm.java.sql.DriverManager.getConnection(self.url, props)
-
     def execute(self, *statements: str) -> None:
         """Runs statements in one transaction."""
-        connection = self._connection()
-        try:
-            connection.setAutoCommit(False)
-            statement = connection.createStatement()
-            for s in statements:
-                statement.executeUpdate(s)
-            connection.commit()
-        except Exception:
-            connection.rollback()
-            raise
-        finally:
-            connection.close()
+        with connected(self.spark, self.url, self.options) as connection:
+            try:
+                connection.setAutoCommit(False)
+                statement = connection.createStatement()
+                for s in statements:
+                    statement.executeUpdate(s)
+                connection.commit()
+            except Exception:
+                connection.rollback()
+                raise
 
     def columns(self, table: str) -> list[TableColumn]:
         """The table's description."""
-        connection = self._connection()
-        try:
+        with connected(self.spark, self.url, self.options) as connection:
             found = connection.getMetaData().getColumns(None, None, table.upper() if "derby" in self.url else table, None)
             out = []
             while found.next():
@@ -182,11 +172,9 @@ class JdbcSink:
                 size = found.getInt("COLUMN_SIZE")
                 out.append(TableColumn(found.getString("COLUMN_NAME"), f"{kind}({size})" if "char" in kind else kind, found.getInt("NULLABLE") != 0, found.getString("COLUMN_DEF")))
             return out
-        finally:
-            connection.close()
 
-    def append(self, df: DataFrame, table: str, batch: int = 10_000) -> None:
-        df.write.format("jdbc").options(url=self.url, dbtable=table, batchsize=str(batch), **self.options).mode("append").save()
+    def append(self, df: DataFrame, table: str, batch: int = BATCH) -> None:
+        write_rows(df, self.url, table, self.options, batch)
 
     def _alone(self, table: str) -> threading.Lock:
         return _changing[self.url, table.lower()]
@@ -198,7 +186,7 @@ class JdbcSink:
         return f"CREATE TABLE {stage} AS SELECT * FROM {table} " + ("WITH NO DATA" if kind == "derby" else "WHERE 1 = 0")
 
     @contextmanager
-    def staged(self, df: DataFrame, table: str, batch: int = 10_000) -> Iterator[str]:
+    def staged(self, df: DataFrame, table: str, batch: int = BATCH) -> Iterator[str]:
         """The name of a table that holds the rows until the end of the block."""
         stage = f"{table}_stage_{uuid.uuid4().hex[:12]}"
         with self._alone(table):
@@ -210,34 +198,31 @@ class JdbcSink:
             with self._alone(table):
                 self.execute(f"DROP TABLE {stage}")
 
-    def replace_period(self, df: DataFrame, table: str, timestamp_column: str, value: str, batch: int = 10_000) -> None:
+    def replace_period(self, df: DataFrame, table: str, timestamp_column: str, value: str, batch: int = BATCH) -> None:
         self.replace_periods(df, table, timestamp_column, [value], batch)
 
-    def replace_periods(self, df: DataFrame, table: str, timestamp_column: str, values: Sequence[str], batch: int = 10_000) -> None:
+    def replace_periods(self, df: DataFrame, table: str, timestamp_column: str, values: Sequence[str], batch: int = BATCH) -> None:
         """Swaps the rows of these periods in one transaction, once all are staged: a failed write leaves the old rows."""
         names = ", ".join(df.columns)
         with self.staged(df, table, batch) as stage, self._alone(table):
             self.execute(f"DELETE FROM {table} WHERE {timestamp_column} IN ({', '.join(values)})", f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}")
 
-    def upsert(self, df: DataFrame, table: str, keys: Sequence[str], dialect: str = "merge", batch: int = 10_000) -> None:
+    def upsert(self, df: DataFrame, table: str, keys: Sequence[str], dialect: str = "merge", batch: int = BATCH) -> None:
         """Writes rows by key without deleting any: staged, then merged in one statement."""
         with self.staged(df, table, batch) as stage, self._alone(table):
             self.execute(upsert_statement(table, stage, df.columns, keys, dialect))
 
     def select(self, sql: str) -> DataFrame:
         """The rows of a statement."""
-        return self.spark.read.format("jdbc").options(url=self.url, query=sql, **self.options).load()
+        return read_rows(self.spark, self.url, sql, self.options)
 
     def change(self, sql: str, *values: object) -> int:
         """Runs one statement with ``?`` marks bound to values, never pasted in; gives the rows changed."""
-        connection = self._connection()
-        try:
+        with connected(self.spark, self.url, self.options) as connection:
             statement = connection.prepareStatement(sql)
             for i, v in enumerate(values, 1):
                 statement.setObject(i, v)
             return statement.executeUpdate()
-        finally:
-            connection.close()
 
     def insert_row(self, table: str, row: Mapping[str, object]) -> int:
         return self.change(f"INSERT INTO {table} ({', '.join(row)}) VALUES ({', '.join('?' * len(row))})", *row.values())

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.jdbc import read_rows
 from latticework.plans.spec import ConfigSource, SpecError
 from latticework.sources.paths import fill
 
@@ -17,7 +18,7 @@ def _jdbc(spark: SparkSession, source: ConfigSource, start: datetime) -> DataFra
     options = dict(source.params)
     url = options.pop("url", None) or f"jdbc:mysql://{options.pop('ip', 'localhost')}:{options.pop('port', '3306')}/{options.pop('dbName', '')}"
     options = {{"passwd": "password"}.get(k, k): v for k, v in options.items()}
-    rows = spark.read.format("jdbc").options(url=url, query=fill(source.sql or "", start), **options).load()
+    rows = read_rows(spark, url, fill(source.sql or "", start), options)
     return rows.select(F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns)).alias("value"))
 
 
