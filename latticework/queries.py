@@ -4,6 +4,7 @@ SELECT for each roll-up, joined by UNION ALL."""
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
@@ -479,12 +480,13 @@ def config_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finalize(report_states(table(spark, sf_dir, "orders"), spec))
 
 
+_LONG_WORD = re.compile(r"[^ \n]{7,}")
+
+
 def _word_rows(record: dict):
     """A row for each word longer than six letters of a record's whole text."""
-    for line in (record["text"] or "").split("\n"):
-        for word in line.split(" "):
-            if len(word) > 6:
-                yield {"lang": record["lang"], "words": 1, "letters": len(word)}
+    for word in _LONG_WORD.finditer(record["text"] or ""):
+        yield {"lang": record["lang"], "words": 1, "letters": len(word[0])}
 
 
 @registered(lattice_sql("SELECT lang, word FROM (SELECT lang, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents) WHERE length(word) > 6", ("lang",), "CAST(COUNT(*) AS BIGINT) AS words, CAST(SUM(length(word)) AS BIGINT) AS letters", subsets(("lang",))))
